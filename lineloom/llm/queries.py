@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import near_dup
+from ..runtime import stable, table
+from . import near_dup, overlap, truncation
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = truncation.cut_rows(table(spark, sf_dir, "canonical_rows"))
+    return found.where("log_odds > 0").select(F.col("id").alias("sample_id"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: rows, rows cut off, their share, and the limits that were met."""
+    found, limits = truncation.cut_rows(table(spark, sf_dir, "canonical_rows"))
+    at = spark.createDataFrame([(s, n) for s, n, _, p in limits if p > 0.5] or [("", 0)], "source string, n int").groupBy("source").agg(F.array_sort(F.collect_set("n")).alias("limits"))
+    by = found.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("log_odds") > 0).alias("cut"), F.avg((F.col("log_odds") > 0).cast("int")).alias("share"))
+    return by.join(at, "source", "left")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(table(spark, sf_dir, "canonical_rows"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.overlaps(table(spark, sf_dir, "canonical_rows"))
+    return found.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "canonical_rows")
+    return overlap.report(stable(overlap.overlaps(rows)), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict[str, str]:
