@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stable, table
-from . import near_dup, overlap, truncation
+from . import leak, near_dup, overlap, tokenise, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,31 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(stable(overlap.overlaps(rows)), rows)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ids, first code point of every slice and number of its ids, as decoding by place needs them."""
+    return tokenise.token_ids(table(spark, sf_dir, "documents"), offsets=True)
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked(_leaks(spark, sf_dir))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test item that leaked: documents that hold it, its best coverage, and whether a copy is reordered."""
+    share = F.col("covered") / F.col("item_words")
+    return _leaks(spark, sf_dir).where(share >= leak.SHARE).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"), F.bool_or("reordered").alias("reordered"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p7_slices": p7_slices, "p8_found": p8_found, "p8_items": p8_items}
 
 
 def oracle_sql() -> dict[str, str]:
