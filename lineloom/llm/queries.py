@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stable, table
-from . import leak, near_dup, overlap, tokenise, truncation
+from . import leak, near_dup, overlap, spam, tokenise, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,17 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where(share >= leak.SHARE).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"), F.bool_or("reordered").alias("reordered"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.scored(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's page score, the rate of its hosts, and the smoothed score."""
+    return spam.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p7_slices": p7_slices, "p8_found": p8_found, "p8_items": p8_items}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p7_slices": p7_slices, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:

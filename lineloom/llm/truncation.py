@@ -10,7 +10,7 @@ limit, and so the posterior that a value at this limit was censored.
 *Ending.* A logistic model tells a whole line from one that stops inside. It needs no labels: whole lines are lines
 from inside the texts and last lines of texts whose length is at no limit; stopped ones are inner lines cut at a
 uniformly drawn character, some with what is usually put after a cut. It is fitted on a bounded sample
-(``SAMPLE_ROWS`` rows, ``SAMPLE_LINES`` lines of each) and scores the last line of every row.
+(about ``SAMPLE_ROWS`` rows chosen by a hash of their ids, ``SAMPLE_LINES`` lines of each) and scores the last line of every row.
 
 Null and empty texts, and texts of white space only, are never cut. Length statistics and limits are those of all rows.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stable
 
-SAMPLE_ROWS = 9_000
+SAMPLE_ROWS = 8_000
 SAMPLE_LINES = 8
 DIM = 1 << 18
 EPOCHS = 6
@@ -160,17 +160,19 @@ def fit_ending(lines: pd.DataFrame, seed: int = 7) -> EndingModel:
     if not examples:
         return EndingModel(np.zeros(DIM, np.float32), 0.0, {})
     known_held = Counter(known)
-    x = []
-    for tool, line, y, _ in examples:  # a word counts as known only by its other occurrences
+    x = None
+    for at, (tool, line, y, _) in enumerate(examples):  # a word counts as known only by its other occurrences
         own = _TOKEN.findall(line[-400:])
         w = own[-1].lower() if own and own[-1][:1].isalpha() else ""
         if not y and w in known_held:
             known_held[w] -= 1
-            x.append(line_features(tool, line, known_held))
+            f = line_features(tool, line, known_held)
             known_held[w] += 1
         else:
-            x.append(line_features(tool, line, known_held))
-    x = np.array(x, np.int32)
+            f = line_features(tool, line, known_held)
+        if x is None:
+            x = np.empty((len(examples), len(f)), np.int32)
+        x[at] = f
     y = np.array([e[2] for e in examples], np.float32)
     wt = np.array([e[3] for e in examples], np.float32)
     wt[y == 1] *= wt[y == 0].sum() / max(1.0, wt[y == 1].sum())
@@ -285,7 +287,8 @@ def cut_rows(df: DataFrame, id_col: str = "sample_id", text_col: str = "tool_out
         at_limit.setdefault(source, {})[n] = p
     every = sorted({n for _, n, _, _ in limits})
     sizes_there = F.col("text").isNotNull() if not every else ~(F.length(_base(F.col("text"))).isin(every) | F.length("text").isin(every) | F.octet_length("text").isin(every))
-    sampled = rows.where("length(text) > 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    total = size.count()
+    sampled = rows.where("length(text) > 0").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(total, 1)) * (1 << 30)))
     lines = sampled.select("tool", "text", sizes_there.alias("plain")).mapInPandas(_sample_lines, "tool string, line string, is_last boolean").toPandas()
     model = fit_ending(lines)
 
