@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stable, table
-from . import leak, near_dup, overlap, spam, tokenise, truncation
+from . import leak, mixing, near_dup, overlap, pieces, spam, splits, tokenise, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,57 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(table(spark, sf_dir, "canonical_rows"))
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "canonical_rows")
+    targets = [(r.split_name, r.target_share) for r in table(spark, sf_dir, "split_targets").collect()]
+    keys = splits.record_keys(F.col("source"), F.col("instance_id"), F.col("output_origin_instance_id"))
+    return splits.update(rows.select(F.col("sample_id").alias("id"), keys.alias("keys"), F.col("split_name").alias("was")), targets)
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's component and split; 'moved' rows had another split, 'new' components had none."""
+    assigned, _, _ = _splits(spark, sf_dir)
+    return assigned.select(F.col("id").alias("sample_id"), "component", F.col("split").alias("split_name"), "status")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, components and share of every split against its target."""
+    assigned, _, _ = _splits(spark, sf_dir)
+    assigned = stable(assigned)
+    n = max(assigned.count(), 1)
+    by = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"), F.count_if(F.col("status") == "moved").alias("moved"), (F.count("*") / F.lit(n)).alias("share"))
+    return by.join(F.broadcast(table(spark, sf_dir, "split_targets")), "split_name", "full")
+
+
+def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a row in a mix: line, copy, output shard and place in it."""
+    mixed, _ = mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
+    return mixed
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, planned = mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
+    return mixing.report(mixed, planned)
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "piece_limits"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's group of near-same outputs: the smallest id of its component, class id and number of linked classes.
+
+    Rows with fewer than eight words, or null output, are groups of their own without links.
+    """
+    rows = table(spark, sf_dir, "canonical_rows")
+    members, found = near_dup.links(rows, "sample_id", "tool_output")
+    found = stable(found.select("a", "b"))
+    root = splits.components(found, members.select(F.col("rep").alias("node")).distinct())
+    degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    grouped = members.join(root.select(F.col("node").alias("rep"), "root"), "rep").join(degree, "rep", "left")
+    return rows.select(F.col("sample_id").alias("id")).join(grouped, "id", "left").select(F.col("id").alias("sample_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("root", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlap.overlaps(table(spark, sf_dir, "canonical_rows"))
     return found.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
@@ -71,7 +122,11 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p7_slices": p7_slices, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores}
+    own = [
+        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p4_mix, p4_report, p5_pieces, p6_found, p6_report,
+        p7_ids, p7_slices, p8_found, p8_items, p9_found, p9_scores,
+    ]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
