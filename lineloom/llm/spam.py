@@ -42,15 +42,12 @@ _HOST = re.compile(r"^(?:https?://)?(?:www\.)?([^/\s:?#]+)", re.I)
 _LINKS = ("://", "www.", ".com", ".net", ".org", ".info", ".biz", ".io", ".example", ".test", ".invalid")
 _TAG = re.compile(r"(?<!\w)#[A-Za-z][\w-]*")
 _WORD = re.compile(r"[^\W_]+")
-_PRICE = re.compile(r"\bSKU\b|[$€£]\s?\d|\b\d+[.,]\d\d\b")
-_TIME = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
-_CAPS = re.compile(r"[a-z0-9@][A-Z]")
-_LEET = re.compile(r"[a-z][013457@][a-z]", re.I)
-_CUTS = re.compile(r" [-–] |[\n,|/·•»;.?!。]+")
-_SENTENCES = re.compile(r"[.?!]+\s+|\n+|。")
-_A = re.compile(r"a+")
+_MONEY = re.compile(rb"9[.,]99(?![9.,])")
+_CUTS = (" - ", "|", "/", ",", ";", ".", "?", "!")
+_WIDE_CUTS = (" – ", "·", "•", "»")
 _BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
-_KINDS = {c: "a" if chr(c).isalpha() else "9" if chr(c).isdigit() else chr(c) for c in range(128)}
+_KINDS = bytes(ord("a" if chr(c).islower() else "A" if chr(c).isupper() else "9" if chr(c).isdigit() or c == 64 else chr(c)) if c < 128 else 63 for c in range(256))
+_ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 _PLAIN = str.maketrans("013457@", "oleasta")
 _ENDS = (".", "?", "!", "。", '."', ".'", ".)", '?"', ".\"\"\"")
 #: Words that lure a visitor.
@@ -81,10 +78,11 @@ def features(text: str) -> list[float]:
     words = bare.translate(_BLANKS).split() if ascii_ else _WORD.findall(bare)
     n = max(1, len(words))
     count = Counter(words)
-    top = [c for _, c in count.most_common(2)] + [0, 0]
+    top = [*sorted(count.values(), reverse=True)[:2], 0, 0]
     hosts = {m.group(1).lower() for u in urls if (m := _HOST.match(u))}
     url_lines = explained = sentence_lines = sentence_chars = indent = 0
     shapes, starts, ends = Counter(), Counter(), Counter()
+    kinds = text.encode("ascii", "replace").translate(_KINDS)
     for line in lines:
         tail = line.rstrip()
         blanks = line.count(" ")
@@ -98,15 +96,20 @@ def features(text: str) -> list[float]:
         if good:
             sentence_lines += 1
             sentence_chars += len(line)
-        shapes[_A.sub("a", tail[:80].translate(_KINDS))] += 1
-        parts = tail.split()
-        starts[parts[0]] += 1
-        ends[parts[-1]] += 1
-    segments = [x for s in _CUTS.split(bare) if (x := s.strip())]
-    sentences = [s for s in _SENTENCES.split(bare) if s.strip()]
+        shapes[tail.encode("ascii", "replace").translate(None, _ALNUM)] += 1
+        starts[tail.split(None, 1)[0]] += 1
+        ends[tail.rsplit(None, 1)[-1]] += 1
+    cut = bare.replace("。", "\n") if not ascii_ else bare
+    for end in (". ", "? ", "! ", ".\n"):
+        cut = cut.replace(end, "\n")
+    sentences = [s for s in cut.split("\n") if s and not s.isspace()]
+    for sign in _CUTS if ascii_ else _CUTS + _WIDE_CUTS:
+        cut = cut.replace(sign, "\n")
+    segments = [x for s in cut.split("\n") if (x := s.strip())]
     inner = [1 - len(set(w)) / len(w) for s in sentences if len(w := s.split()) > 2]
     stems = [" ".join(s.split(None, 2)[:2]) for s in sentences]
-    mixed = len(_LEET.findall(bare)) if not low.isalpha() else 0
+    plain = kinds.replace(b"A", b"a")
+    mixed = plain.count(b"a9a")
     pair_rep = _rep(list(zip(words, words[1:])))
     if mixed > 0.03 * n:
         w = bare.translate(_PLAIN).split()
@@ -115,8 +118,8 @@ def features(text: str) -> list[float]:
         leet_rep = pair_rep
     raw = text.encode("utf-8", "surrogatepass")
     return [
-        math.log1p(n_chars), math.log1p(n_lines), math.log1p(n), n / n_lines, len(count) / n, top[0] / n, (top[0] + top[1]) / n, pair_rep, _rep(list(zip(words, words[1:], words[2:]))), len(zlib.compress(raw, 1)) / max(1, len(raw)), len(urls) / n, sum(map(len, urls)) / n_chars, len(hosts) / n_lines, url_lines / n_lines, explained / max(1, url_lines), len(tags) / n, sum(map(len, tags)) / n_chars, len(_PRICE.findall(text)) / n_lines, len(_TIME.findall(text)) / n_lines,
-        sentence_lines / n_lines, sentence_chars / n_chars, sum(s.count(" ") >= 6 for s in sentences) / max(1, len(sentences)), _rep(stems), _rep(segments), n / max(1, len(segments)), 1 - len(set(lines)) / n_lines, 1 - len(shapes) / n_lines, max(shapes.values(), default=0) / n_lines, max(starts.values(), default=0) / n_lines, max(ends.values(), default=0) / n_lines, indent / n_lines, len(_CAPS.findall(text)) / n, mixed / n, leet_rep, sum(map(len, words)) / n, sum(map(text.count, "0123456789")) / n_chars, 0.0 if ascii_ else 1 - len(text.encode("ascii", "ignore")) / n_chars, text.count("。") / n_lines, sum(count[w] for w in LURES if w in count) / n, (text.count("?") + text.count("!")) / max(1, len(sentences)), sum(inner) / max(1, len(inner)),
+        math.log1p(n_chars), math.log1p(n_lines), math.log1p(n), n / n_lines, len(count) / n, top[0] / n, (top[0] + top[1]) / n, pair_rep, _rep(list(zip(words, words[1:], words[2:]))), len(zlib.compress(raw, 1)) / max(1, len(raw)), len(urls) / n, sum(map(len, urls)) / n_chars, len(hosts) / n_lines, url_lines / n_lines, explained / max(1, url_lines), len(tags) / n, sum(map(len, tags)) / n_chars, (len(_MONEY.findall(plain)) + low.count("sku ") + text.count("$")) / n_lines, (plain.count(b"99:99") + plain.count(b"9999-99-99")) / n_lines,
+        sentence_lines / n_lines, sentence_chars / n_chars, sum(s.count(" ") >= 6 for s in sentences) / max(1, len(sentences)), _rep(stems), _rep(segments), n / max(1, len(segments)), 1 - len(set(lines)) / n_lines, 1 - len(shapes) / n_lines, max(shapes.values(), default=0) / n_lines, max(starts.values(), default=0) / n_lines, max(ends.values(), default=0) / n_lines, indent / n_lines, (kinds.count(b"aA") + kinds.count(b"9A")) / n, mixed / n, leet_rep, sum(map(len, words)) / n, sum(map(text.count, "0123456789")) / n_chars, 0.0 if ascii_ else 1 - len(text.encode("ascii", "ignore")) / n_chars, text.count("。") / n_lines, sum(count[w] for w in LURES if w in count) / n, (text.count("?") + text.count("!")) / max(1, len(sentences)), sum(inner) / max(1, len(inner)),
         *(text.count(c) / n_chars for c in _SIGNS),
     ]
 
