@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.let import let
 
 #: Share of lines kept, at least one line.
 RATIO = 0.1
@@ -48,31 +49,35 @@ def last(df: DataFrame) -> DataFrame:
 def hashed(df: DataFrame) -> DataFrame:
     """Lines of smallest md5 of seed, id and line number: a sample of fixed size that needs no random state."""
     ranked = F.transform(F.sequence(F.lit(1), _n()), lambda i: F.struct(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"), i.cast("string"))).alias("h"), i.alias("i")))
-    return df.withColumn("kept", F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, budget(_n())), lambda s: s["i"])))
+    return df.withColumn("kept", F.sort_array(F.transform(F.slice(F.sort_array(ranked), 1, budget(_n())), lambda s: s["i"])))
 
 
 @pruner("bm25")
 def bm25(df: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Lines of highest BM25 against the query's distinct words; of equal scores the later line wins."""
-    cols = df.columns
-    df = df.withColumn("_w", F.transform(X.lines(F.lower("text")), X.words)).withColumn("_t", F.array_sort(F.array_distinct(X.words(F.lower("query")))))
-    df = df.withColumn("_n", F.size("_w")).withColumn("_d", F.transform("_t", lambda t: F.size(F.filter("_w", lambda w: F.array_contains(w, t)))))
-    avg = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.size(w)).cast("double") / F.col("_n")
-    df = df.withColumn("_avg", F.greatest(avg, F.lit(1.0)))
 
-    def score(w: Column) -> Column:
-        norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(w) / F.col("_avg"))
+    def counts(c: Column) -> Column:
+        n = F.size(c["w"])
+        found = F.transform(c["t"], lambda t: F.size(F.filter(c["w"], lambda w: F.array_contains(w, t))).cast("double"))
+        idf = F.transform(found, lambda d: F.ln((n - d + F.lit(0.5)) / (d + F.lit(0.5)) + F.lit(1.0)))
+        total = F.aggregate(c["w"], F.lit(0).cast("long"), lambda a, w: a + F.size(w)).cast("double")
+        return let(lambda x: kept(c, x), n=n, idf=idf, avg=F.greatest(total / n, F.lit(1.0)))
 
-        def term(t: Column, j: Column) -> Column:
-            tf = F.size(F.filter(w, lambda x: x == t)).cast("double")
-            d = F.get("_d", j).cast("double")
-            return F.ln((F.col("_n") - d + F.lit(0.5)) / (d + F.lit(0.5)) + F.lit(1.0)) * (tf * F.lit(k1 + 1) / (tf + norm))
+    def kept(c: Column, x: Column) -> Column:
+        def score(w: Column) -> Column:
+            norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(w) / x["avg"])
 
-        return F.aggregate(F.transform("_t", term), F.lit(0.0), lambda a, x: a + x)
+            def term(t: Column, j: Column) -> Column:
+                hits = F.size(F.filter(w, lambda y: y == t)).cast("double")
+                return F.when(F.array_contains(w, t), let(lambda h: F.get(x["idf"], j) * (h["tf"] * F.lit(k1 + 1) / (h["tf"] + h["norm"])), tf=hits, norm=norm)).otherwise(0.0)
 
-    ranked = F.array_sort(F.transform("_w", lambda w, i: F.struct((-F.round(score(w), 9)).alias("s"), (-(i + 1)).alias("p"))))
-    df = df.withColumn("kept", F.array_sort(F.transform(F.slice(ranked, 1, budget(F.col("_n"))), lambda s: -s["p"])))
-    return df.select(*cols, "kept")
+            return F.aggregate(F.transform(c["t"], term), F.lit(0.0), lambda a, y: a + y)
+
+        ranked = F.sort_array(F.transform(c["w"], lambda w, i: F.struct((-F.round(score(w), 9)).alias("s"), (-(i + 1)).alias("p"))))
+        return F.sort_array(F.transform(F.slice(ranked, 1, budget(x["n"])), lambda s: -s["p"]))
+
+    words = F.transform(X.lines(F.lower("text")), X.words)
+    return df.withColumn("kept", let(counts, w=words, t=F.array_sort(F.array_distinct(X.words(F.lower("query"))))))
 
 
 def islands(kept: Column) -> Column:

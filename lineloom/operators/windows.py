@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 OVERLAP = 2
 WINDOWS = "array<struct<first:int,stop:int>>"
 
@@ -40,9 +42,10 @@ def greedy(sizes: Column, budget: int, overlap: int = OVERLAP, drop_redundant: b
         return first + F.aggregate(F.slice(sizes, first + 1, budget + 1), run, take, lambda a: a["taken"])
 
     def step(a: Column, _: Column) -> Column:
-        end = reach(a["at"])
-        done = a["at"] >= n
+        return F.when(a["at"] >= n, a).otherwise(let(lambda e: grow(a, e["end"]), end=reach(a["at"])))
+
+    def grow(a: Column, end: Column) -> Column:
         stop = F.when(F.lit(drop_redundant) & (end >= n), n).otherwise(F.greatest(a["at"] + 1, end - overlap))
-        return F.struct(F.when(done, a["at"]).otherwise(stop).alias("at"), F.when(done, a["out"]).otherwise(F.array_append(a["out"], F.struct(a["at"].alias("first"), end.alias("stop")))).cast(WINDOWS).alias("out"))
+        return F.struct(stop.alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("first"), end.alias("stop"))).cast(WINDOWS).alias("out"))
 
     return F.aggregate(sizes, start, step, lambda a: a["out"])
