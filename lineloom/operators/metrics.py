@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -118,26 +117,32 @@ def rouge_l(pred: str, ref: str) -> float:
     return round(2 * n / (len(a) + len(b)), 4)
 
 
-FUZZY = "fuzzy_precision double, fuzzy_recall double, fuzzy_f1 double, partial_overlap double, rouge_l double"
-
-
-@F.pandas_udf(FUZZY)
-def fuzzy_metrics(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Struct of the measures that compare every predicted with every reference line; both empty: 1, one empty: 0."""
-    for pred, ref in parts:
-        out = []
-        for a, b in zip(pred, ref):
-            a, b = list(a) if a is not None else [], list(b) if b is not None else []
-            if not a and not b:
-                p = r = f = 1.0
-            elif not a or not b:
-                p = r = f = 0.0
-            else:
-                n = fuzzy_counts(a, b)
-                p, r = n / len(a), n / len(b)
-                f = 2 * p * r / (p + r) if p + r else 0.0
-            out.append((round(p, 4), round(r, 4), round(f, 4), partial_cover(a, b), rouge_l("\n".join(a), "\n".join(b))))
-        yield pd.DataFrame(np.array(out, float).reshape(-1, 5), columns=[x.split()[0] for x in FUZZY.split(", ")])
+FUZZY = ("fuzzy_precision", "fuzzy_recall", "fuzzy_f1", "partial_overlap", "rouge_l")
+
+
+def all_pairs_metrics(a: list[str], b: list[str]) -> tuple[float, ...]:
+    """The ``FUZZY`` measures of predicted and reference lines; fuzzy ones are 1 if both are empty, 0 if one is."""
+    if not a and not b:
+        p = r = f = 1.0
+    elif not a or not b:
+        p = r = f = 0.0
+    else:
+        n = fuzzy_counts(a, b)
+        p, r = n / len(a), n / len(b)
+        f = 2 * p * r / (p + r) if n else 0.0
+    return round(p, 4), round(r, 4), round(f, 4), partial_cover(a, b), rouge_l("\n".join(a), "\n".join(b))
+
+
+def fuzzy_metrics(df: DataFrame, id_col: str) -> DataFrame:
+    """id and the ``FUZZY`` measures of a table with pred and ref."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [all_pairs_metrics(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(pdf.pred, pdf.ref)]
+            yield pd.concat([pdf[[id_col]].reset_index(drop=True), pd.DataFrame(rows, columns=list(FUZZY), dtype=float)], axis=1)
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, "pred", "ref").mapInPandas(run, f"{id_col} {kind}, " + ", ".join(f"{c} double" for c in FUZZY))
 
 
 def summary(column: str) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ..functions import text as X
 LEAST_LINES, LEAST_RELEVANT, LEAST_SHARE, MOST_SHARE = 10, 3, 0.02, 0.40
 #: Lines around a changed range in which a search hit counts as near it.
 NEAR = 10
+_NUMBERED = re.compile(r"^\d+: (.*)$")
 HUNKS = "array<struct<file:string,start:int,stop:int>>"
 
 
@@ -144,28 +146,26 @@ def enclosing(content: list[str], targets: list[int]) -> set[int]:
     return out
 
 
-@F.pandas_udf("array<boolean>")
-def label_read_file(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """lines, hunks of the file that was read, whether the patch has that file, names: changed lines, definitions around
-    them and imports of named things. A file that the patch doesn't touch has no relevant line."""
-    import re
-
-    number = re.compile(r"^\d+: (.*)$")
-    for lines, hunk, touched, names_ in parts:
-        out = []
-        for ls, hs, t, ns in zip(lines, hunk, touched, names_):
-            content = [m.group(1) if (m := number.match(x)) else x for x in ls]
-            relevant: set[int] = set()
-            if len(hs) or t:
-                for h in hs:
-                    relevant.update(range(max(h["start"], 1), min(h["stop"], len(content)) + 1))
-                relevant |= enclosing(content, sorted(relevant))
-                for i, x in enumerate(content, 1):
-                    s = x.strip()
-                    if s.startswith(("import ", "from ")) and any(n in s for n in ns):
-                        relevant.add(i)
-            out.append([i in relevant for i in range(1, len(content) + 1)])
-        yield pd.Series(out)
+def read_file_labels(lines: list[str], hunks_: list, touched: bool, names_: list[str]) -> list[bool]:
+    """Changed lines of a file that was read, definitions around them, and imports of names of the patch; of a file that
+    the patch doesn't touch no line is relevant. Line numbers before the lines are ignored."""
+    content = [m.group(1) if (m := _NUMBERED.match(x)) else x for x in lines]
+    relevant: set[int] = set()
+    if len(hunks_) or touched:
+        for h in hunks_:
+            relevant.update(range(max(h["start"], 1), min(h["stop"], len(content)) + 1))
+        relevant |= enclosing(content, sorted(relevant))
+        for i, x in enumerate(content, 1):
+            s = x.strip()
+            if s.startswith(("import ", "from ")) and any(n in s for n in names_):
+                relevant.add(i)
+    return [i in relevant for i in range(1, len(content) + 1)]
+
+
+def _label_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        labels = [read_file_labels(list(a), list(h), bool(t), list(n)) for a, h, t, n in zip(pdf.lines, pdf.own, pdf.touched, pdf.names)]
+        yield pd.DataFrame({"id": pdf.id, "tool_type": pdf.tool_type, "labels": labels})
 
 
 LABELERS = {
@@ -189,7 +189,10 @@ def label(outputs: DataFrame, patches: DataFrame, read_files: bool = True) -> Da
         target = F.regexp_extract("command", r"(\S+)\s*$", 1)
         mine = rows.where(F.col("tool_type") == "read_file").withColumn("target", target)
         own = F.filter("hunks", lambda h: h["file"] == F.col("target"))
-        out = out.unionByName(mine.select("id", "tool_type", label_read_file("lines", own, F.array_contains("patch_files", F.col("target")), "names").alias("labels")))
+        out = out.unionByName(
+            mine.select("id", "tool_type", "lines", own.alias("own"), F.coalesce(F.array_contains("patch_files", F.col("target")), F.lit(False)).alias("touched"), "names")
+            .mapInPandas(_label_files, f"id {dict(rows.dtypes)['id']}, tool_type string, labels array<boolean>")
+        )
     return out
 
 
