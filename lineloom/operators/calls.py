@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import patches as P
 
-#: Weights of tools; they add up to 1.
-WEIGHTS = {"read_file": 0.25, "grep": 0.20, "git_log": 0.12, "test_output": 0.12, "git_diff": 0.10, "git_blame": 0.07, "ls": 0.07, "lint_output": 0.07}
+#: Weights of tools; they add up to 1.
+WEIGHTS = {
+    "read_file": 0.28, "grep": 0.18, "python": 0.08, "git_log": 0.08, "test_output": 0.08, "git_diff": 0.05, "git_blame": 0.04,
+    "ls": 0.04, "lint_output": 0.02, "build_output": 0.02, "curl": 0.03, "pip_install": 0.04, "type_check": 0.04, "coverage": 0.02,
+}
 LEAST, MOST = 3, 7
 
 #: What is asked of a tool's output about a focus.
@@ -61,8 +64,8 @@ def plan(instances: DataFrame) -> DataFrame:
     n = F.lit(LEAST) + F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("n"), "instance_id")), 1, 6), 16, 10).cast("long") % (MOST - LEAST + 1)
     rows = instances.select("instance_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq"))
     u = uniform(F.lit("tool"), F.col("instance_id"), F.col("seq"))
-    case, upto = F.when((F.col("seq") == 0) | (F.col("u") < 0.25), "read_file"), 0.25
-    for kind, w in list(WEIGHTS.items())[1:-1]:
+    case, upto = F.when(F.col("seq") == 0, "read_file"), 0.0
+    for kind, w in list(WEIGHTS.items())[:-1]:
         upto = round(upto + w, 10)
         case = case.when(F.col("u") < upto, kind)
     return rows.withColumn("u", u).select("instance_id", F.col("seq").cast("int").alias("seq"), case.otherwise(list(WEIGHTS)[-1]).alias("tool_type"))

@@ -9,7 +9,7 @@ from ..functions.text import WS
 from ..operators import metrics as M
 from ..operators import rank
 from ..operators import spans as S
-from ..runtime import table
+from ..runtime import ranked, table
 from . import sql
 from .registry import query
 
@@ -132,10 +132,9 @@ def validation_report(spark, sf_dir):
 @query(f"with {_EX}, picked as (select sample_id, tool_type, f1, exact_match, compression, category from m where (f1 < 0.5 or category in ('false_positive', 'false_negative')) and contains(lower(concat_ws(chr(10), sample_id, tool_type, source, category, list_aggregate(pred, 'string_agg', chr(10)), list_aggregate(ref, 'string_agg', chr(10)))), 'error')) select sample_id, tool_type, f1, category, row_number() over (order by f1, compression desc, sample_id) as place from picked")
 def review_filter_sort(spark, sf_dir):
     """Weak or wrongly empty predictions that mention errors, worst first."""
-    from pyspark.sql import Window as W
-
     m = M.span_metrics(F.col("pred"), F.col("ref"))
     ex = examples(spark, sf_dir).withColumns({"f1": m["f1"], "category": M.empty_category(F.col("pred"), F.col("ref")), "compression": M.compression(F.col("text"), F.array_join("pred", "\n"))})
     text = F.lower(F.concat_ws("\n", F.col("sample_id").cast("string"), "tool_type", "source", "category", F.array_join("pred", "\n"), F.array_join("ref", "\n")))
     got = ex.where(((F.col("f1") < 0.5) | F.col("category").isin("false_positive", "false_negative")) & text.contains("error"))
-    return got.select("sample_id", "tool_type", "f1", "category", F.row_number().over(W.orderBy("f1", F.desc("compression"), "sample_id")).cast("long").alias("place"))
+    got = ranked(got.select("sample_id", "tool_type", "f1", "category", "compression"), F.col("f1"), -F.col("compression"), F.col("sample_id"), name="k")
+    return got.select("sample_id", "tool_type", "f1", "category", (F.col("k") + 1).alias("place"))

@@ -94,9 +94,21 @@ def extraction_query(spark, sf_dir):
     return i.select("instance_id", "focus", C.extraction_query(F.lit("git_diff"), F.col("focus")).alias("diff_query"), C.extraction_query(F.lit("git_log"), F.col("focus")).alias("log_query"))
 
 
+def _draw() -> str:
+    upto, out = 0.0, "case when seq = 0 then 'read_file'"
+    *most, last = C.WEIGHTS
+    for kind in most:
+        upto = round(upto + C.WEIGHTS[kind], 10)
+        out += f" when u < {upto}::double then '{kind}'"
+    return f"{out} else '{last}' end"
+
+
+_DRAW = _draw()
+
+
 @query("""with n as (select instance_id, 3 + ('0x' || left(md5('n|' || instance_id), 6))::bigint % 5 as n from instances), d as (select instance_id, unnest(range(0, n)) as seq from n),
 u as (select instance_id, seq, ('0x' || left(md5('tool|' || instance_id || '|' || seq), 6))::bigint / 16777216.0::double as u from d)
-select instance_id, seq::integer as seq, case when seq = 0 or u < 0.25::double then 'read_file' when u < 0.45::double then 'grep' when u < 0.57::double then 'git_log' when u < 0.69::double then 'test_output' when u < 0.79::double then 'git_diff' when u < 0.86::double then 'git_blame' when u < 0.93::double then 'ls' else 'lint_output' end as tool_type from u""")
+select instance_id, seq::integer as seq, """ + _DRAW + """ as tool_type from u""")
 def planned_calls(spark, sf_dir):
     """Three to seven tools an instance, the first reads a file, drawn by weight from a hash."""
     return C.plan(table(spark, sf_dir, "instances").select("instance_id"))

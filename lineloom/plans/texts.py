@@ -197,3 +197,26 @@ def document_facts(spark, sf_dir):
 def document_urls(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(X.urls(F.col("text"))).alias("url"))
     return d.withColumn("host", F.regexp_extract("url", "^https?://([^/:]+)", 1))
+
+
+@query()
+def scored_lines(spark, sf_dir):
+    """Lines that hold half of the query's words, by the scorer hook."""
+    from ..operators import scoring
+
+    return scoring.over_threshold(scoring.line_scores(observations(spark, sf_dir))).withColumnRenamed("id", "sample_id")
+
+
+@query(f"""with {sql.NORMAL}, l as ({sql.LINES}), w as (select l.sample_id, (l.line_no - 1) // 20 as win, max((n.sample_id is not null)::integer) = 1 as positive from l left join normal n on l.sample_id = n.sample_id and l.line_no between n.start_line and n.end_line group by l.sample_id, win),
+k as (select *, sample_id || '|' || win as key from w), r as (select *, row_number() over (partition by positive order by md5('42|' || key), key) as rk, (select count(*) from k where positive) as n from k)
+select sample_id, win::integer as win, positive from r where positive or rk <= floor(n * 0.3::double / (1 - 0.3::double))""")
+def window_sample(spark, sf_dir):
+    """Windows of twenty lines: all with a relevant line, and others up to three tenths."""
+    from ..operators import scoring
+
+    n = S.n_lines(F.col("tool_output"))
+    rows = table(spark, sf_dir, "canonical_rows").select("sample_id", n.alias("n"), S.normalise(F.col("gold_spans"), n).alias("spans"))
+    rows = rows.select("sample_id", "spans", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 20).cast("int"))).alias("win"))
+    hit = F.exists("spans", lambda s: (s["start_line"] <= (F.col("win") + 1) * 20) & (s["end_line"] > F.col("win") * 20))
+    rows = rows.select("sample_id", "win", hit.alias("positive"), F.concat_ws("|", "sample_id", "win").alias("key"))
+    return scoring.balanced(rows, 0.3).drop("key")

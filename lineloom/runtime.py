@@ -39,3 +39,26 @@ BROADCAST_ROWS = 100_000
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``limit`` rows (reads no more than ``limit + 1``)."""
     return df.limit(limit + 1).count() <= limit
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Adds the position (from 0) of every row in the whole order, without a sort in one task.
+
+    Rows are range-partitioned and sorted; the sizes of the partitions before a row's own, one number each, give its
+    offset. The order must be total, or the positions of equal rows may differ between runs.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    keys = [F.col(f"_o{i}") for i in range(len(order))]
+    placed = stable(placed.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}  # a number for each partition
+    offset, rows = 0, []
+    for p in sorted(sizes):
+        rows.append((p, offset))
+        offset += sizes[p]
+    offsets = df.sparkSession.createDataFrame(rows, "_p int, _before long")
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(*keys))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + inside - 1).drop("_p", "_before", *(f"_o{i}" for i in range(len(order))))
