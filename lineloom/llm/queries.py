@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
 from ..runtime import stable, table
 from . import leak, mixing, near_dup, overlap, pieces, spam, splits, tokenise, truncation
 
@@ -129,5 +130,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_PAIRS = f"""r as (select sample_id, list_filter(string_split_regex(lower(tool_output), '{WS}+'), lambda w: w <> '') as ws from canonical_rows),
+big as (select sample_id, len(ws) as n, ws from r where len(ws) >= 8),
+tf as (select sample_id, n, w, count(*) as k from (select sample_id, n, unnest(ws) as w from big) group by all),
+near as (select a.sample_id as sample_id_a, b.sample_id as sample_id_b from tf a join tf b on a.w = b.w and a.sample_id < b.sample_id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)
+  group by a.sample_id, b.sample_id, a.n, b.n having sum(least(a.k, b.k)) >= 0.75 * greatest(a.n, b.n))"""
+
+_QUERY = f"""q as (select sample_id, split_name, list_filter(list_transform(string_split_regex(lower(query), '{WS}+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '') as ws from canonical_rows where split_name is not null),
+qt as (select sample_id, w, count(*) as k from (select sample_id, unnest(ws) as w from q) group by all)"""
+
+_LEAK = """dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from documents where text is not null),
+iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from eval_items),
+dg as (select distinct doc_id, list_aggregate(ws[i : i + 4], 'string_agg', ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from dw)),
+ig as (select item_id, i, list_aggregate(ws[i : i + 4], 'string_agg', ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 3)) as i from iw)),
+under as (select distinct doc_id, item_id, i + j as p from dg join ig using (g), range(0, 5) as t(j))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"with {_PAIRS} select sample_id_a, sample_id_b from near",
+        "p6_found": f"""with {_PAIRS}, {_QUERY}, c as (select sample_id_a, sample_id_b, a.ws as wa, b.ws as wb from near join q a on a.sample_id = sample_id_a join q b on b.sample_id = sample_id_b where (a.split_name = 'train') <> (b.split_name = 'train')),
+both_ as (select sample_id_a, sample_id_b, coalesce(sum(case when y.k is null then 0 else least(x.k, y.k) end), 0) as shared from c left join qt x on x.sample_id = sample_id_a left join qt y on y.sample_id = sample_id_b and y.w = x.w group by sample_id_a, sample_id_b)
+select sample_id_a, sample_id_b from c join both_ using (sample_id_a, sample_id_b) where len(wa) - shared <= 2 and len(wb) - shared <= 2
+and list_sort(list_distinct(list_filter(wa, lambda w: regexp_matches(w, '[_/.0-9]')))) = list_sort(list_distinct(list_filter(wb, lambda w: regexp_matches(w, '[_/.0-9]'))))""",
+        "p8_found": f"with {_LEAK}, n as (select doc_id, item_id, count(*) as n from under group by doc_id, item_id) select doc_id, item_id from n join iw using (item_id) where n >= 0.5 * len(ws)",
+    }
