@@ -22,8 +22,9 @@ def normalise(spans: Column, lines: Column) -> Column:
 
     Null spans, and spans with a null end, count as absent; the result is never null unless ``lines`` is.
     """
-    clamped = F.transform(F.coalesce(spans, F.from_json(F.lit("[]"), SPANS)), lambda s: _span(F.greatest(F.lit(1), s["start_line"]), F.least(lines, s["end_line"])))
-    kept = F.sort_array(F.filter(clamped, lambda s: s["start_line"].isNotNull() & s["end_line"].isNotNull() & (s["start_line"] <= s["end_line"])))
+    known = F.filter(F.coalesce(spans, F.from_json(F.lit("[]"), SPANS)), lambda s: s["start_line"].isNotNull() & s["end_line"].isNotNull())
+    clamped = F.transform(known, lambda s: _span(F.greatest(F.lit(1), s["start_line"]), F.least(lines, s["end_line"])))
+    kept = F.sort_array(F.filter(clamped, lambda s: s["start_line"] <= s["end_line"]))
     start = F.filter(kept, lambda s: F.lit(False)).cast(SPANS)
 
     def step(acc: Column, s: Column) -> Column:

@@ -27,7 +27,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text: one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
