@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stable
 
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 TREES = 25
 DEPTH = 7
 LEAST_LEAF = 5
@@ -254,8 +254,11 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     feat = stable(rows.mapInPandas(_featured, f"id {kind}, machine boolean, x array<float>, hosts array<string>"))
     total = max(feat.count(), 1)
     part = feat.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / total) * (1 << 30)))
-    sample = part.select("x", "machine").toPandas()
-    trees = train(np.stack(sample.x.to_list()), sample.machine.to_numpy(bool)) if len(sample) else []
+    sample = part.select("x", "machine").toArrow().combine_chunks()
+    trees = []
+    if sample.num_rows:
+        x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, len(FEATURES))
+        trees = train(x, sample.column("machine").to_numpy().astype(bool))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
