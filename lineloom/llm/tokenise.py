@@ -226,9 +226,13 @@ class Encoder:
         return ids, upto[per_text[1:]] - upto[per_text[:-1]], starts - base[text_of], count, slices
 
 
-def decode(ids: list[int], ranks: dict[bytes, int]) -> str:
-    pieces = {v: k for k, v in ranks.items()}
-    return b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
+def pieces_of(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {v: k for k, v in ranks.items()}
+
+
+def decode(ids: list[int], pieces: dict[int, bytes]) -> str:
+    """The text of ids; bytes that are no valid UTF-8, as in a part of a character, become replacement characters."""
+    return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
 def _encoder(path: str) -> Encoder:

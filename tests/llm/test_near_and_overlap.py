@@ -91,8 +91,8 @@ def test_overlaps_of_hostile_rows(spark, monkeypatch):
     df, _ = hostile(spark)
     want = brute_overlaps(df.collect())
     assert want and pairs_of(overlap.overlaps(df)) == want
-    monkeypatch.setattr(overlap, "EVAL_CHARS", 300)  # one key cut into a grid
-    monkeypatch.setattr(overlap, "TRAIN_CHARS", 300)
+    monkeypatch.setattr(overlap, "EVAL_CHARS", 60_000)  # one key cut into a grid
+    monkeypatch.setattr(overlap, "TRAIN_CHARS", 60_000)
     got = overlap.overlaps(df)
     assert pairs_of(got) == want and got.count() == len(want)
     assert overlap.overlaps(df.limit(0)).count() == 0

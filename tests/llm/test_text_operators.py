@@ -30,15 +30,15 @@ def test_tokens_equal_public_encoder(spark):
 
 
 def test_tokens_round_trip_and_offsets(spark, sf):
-    ranks = tokenise.read_ranks(tokenise.DEFAULT_VOCABULARY)
+    pieces = tokenise.pieces_of(tokenise.read_ranks(tokenise.DEFAULT_VOCABULARY))
     text = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     for r in queries.p7_slices(spark, sf).collect():
         t = text[r.doc_id] or ""
-        assert tokenise.decode(r.ids, ranks) == t
+        assert tokenise.decode(r.ids, pieces) == t
         assert sum(r.slice_ids) == len(r.ids) and len(r.starts) == len(r.slice_ids)
         at = 0
         for s, e, n in zip(r.starts, [*r.starts[1:], len(t)], r.slice_ids):
-            assert tokenise.decode(r.ids[at : at + n], ranks) == t[s:e]
+            assert tokenise.decode(r.ids[at : at + n], pieces) == t[s:e]
             at += n
     assert tokenise.token_ids(docs(spark, []).limit(0)).count() == 0
 
