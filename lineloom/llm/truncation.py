@@ -47,6 +47,13 @@ MARKS = ("...", "…", "�")
 OMITTED = re.compile(r"^\W*\(?(?:\d+ )?(?:more )?(?:lines?|rows?|characters?|chars|bytes)?\W*(?:\d+ )?(?:more )?(?:lines?|rows?|chars|characters|bytes)?\s*(?:omitted|truncated|elided|skipped|not shown|hidden)\W*$", re.I)
 BROKEN = re.compile(r"\b(?:aborted|closed|reset|interrupted|hung up|timed out|broken pipe|broke off|disconnected|terminated|lost|dropped|truncated|cut off|cut short|incomplete|unexpected end|unexpected eof|stopped early|stream ended|eof)\b", re.I)
 
+#: What a note is put in, or curl's error number before it.
+_FRAME = re.compile(r"^(?:curl: \(\d+\) |[\s<>\[\](){}*#=.\-]+)|[\s<>\[\](){}*#=.\-]+$", re.I)
+_FRAMED = re.compile(r"^(?:<.*>|\[.*\]|\(.*\)|\*+.*\*+|-{2,}.*-{2,}|={2,}.*={2,})$")
+#: What breaks off: a note that begins with it may hold a number.
+_SUBJECT = re.compile(r"^(?:the )?(?:connection|transfer|stream|pipe|peer|socket|download|upload|session|remote|network|transmission)\b", re.I)
+_CODE = re.compile(r"[_/=<>{}\[\]`'\"#]")
+
 _ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|\s+|[^\sA-Za-z\d]|\w")
 _RUNS = re.compile(r"[A-Za-z][a-z]*")
@@ -108,6 +115,16 @@ def line_features(tool: str, line: str, known: dict) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) % DIM for x in f]
 
 
+def broken_note(line: str) -> str:
+    """'broken' if a line is a message that a transfer broke off, 'maybe' if it may be one, else ''."""
+    short = line.strip()
+    if len(short) >= 120 or not BROKEN.search(short):
+        return ""
+    inner = _FRAME.sub("", short)
+    sure = len(inner) < 60 and not _CODE.search(inner) and (_FRAMED.match(short) or _SUBJECT.match(inner) or not re.search(r"\d", inner))
+    return "broken" if sure else "maybe"
+
+
 def final_line(text: str) -> tuple[str, str]:
     """(last line that is no message, kind of message after it: '', 'omitted' or 'broken'), without colour codes."""
     body = re.sub(_ANSI, "", text[-20_000:] if len(text) > 20_000 else text).rstrip()
@@ -115,7 +132,7 @@ def final_line(text: str) -> tuple[str, str]:
     note = ""
     for _ in range(2):
         short = line.strip()
-        if head.strip() and len(short) < 120 and (OMITTED.match(short) or (len(short) < 60 and not note and BROKEN.search(short) and not re.search(r"[_/=<>{}\[\]`'\"#]|\d", short))):
+        if head.strip() and ((len(short) < 120 and OMITTED.match(short)) or (not note and broken_note(short) == "broken")):
             note = "omitted" if OMITTED.match(short) else "broken"
             head, _, line = head.rstrip().rpartition("\n")
         else:
@@ -123,6 +140,14 @@ def final_line(text: str) -> tuple[str, str]:
     return line, note
 
 
+def line_before(text: str, line: str, note: str) -> str:
+    """The line before the last one where that may be a message that a transfer broke off, else ''."""
+    if note or broken_note(line) != "maybe":
+        return ""
+    head = re.sub(_ANSI, "", text[-20_000:] if len(text) > 20_000 else text).rstrip().rpartition("\n")[0]
+    return final_line(head)[0]
+
+
 class EndingModel:
     """Logistic model over hashed line features, with the words its sample knows."""
 
@@ -309,7 +334,11 @@ def cut_rows(df: DataFrame, id_col: str = "sample_id", text_col: str = "tool_out
                 p = max((own.get(n, 0.0) for n in (len(body), len(text), len(text.encode("utf-8", "surrogatepass")), len(body.encode("utf-8", "surrogatepass")))), default=0.0)
                 p = max(p, AFTER_NOTE if note == "broken" else ELSEWHERE)
                 p = min(p, 0.98)
-                out.append(model.score(tool, line) + math.log(p / (1 - p)))
+                z = model.score(tool, line) + math.log(p / (1 - p))
+                before = line_before(text, line, note)
+                if before.strip():
+                    z = max(z, model.score(tool, before) + math.log(ELSEWHERE / (1 - ELSEWHERE)))
+                out.append(z)
             z = np.array(out)
             yield pd.DataFrame({"id": pdf.id, "source": pdf.source, "log_odds": z, "posterior": 1 / (1 + np.exp(-np.clip(z, -50, 50)))})
 

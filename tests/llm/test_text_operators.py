@@ -130,6 +130,17 @@ def test_final_line(text, line, note):
     assert truncation.final_line(text) == (line, note)
 
 
+@pytest.mark.parametrize("note", ["<stream ended early>", "[connection lost]", "*** transfer aborted ***", "curl: (18) transfer closed with 312 bytes remaining to read", "Connection reset after 4096 bytes"])
+def test_final_line_before_framed_and_numbered_notes(note):
+    assert truncation.final_line(f"a\nsrc/vec\n{note}\n") == ("src/vec", "broken")
+
+
+def test_line_before_what_may_be_a_note():
+    for last, before in [("recv_loop: lost 3 frames", "src/vec"), ("Nobody has lost 3 rows.", "src/vec"), ("b = 1", "")]:
+        text = f"a\nsrc/vec\n{last}"
+        assert truncation.final_line(text) == (last, "") and truncation.line_before(text, last, "") == before
+
+
 def test_spam_held_out_accuracy():
     rng = np.random.default_rng(6)
     nouns = [f"noun{i}" for i in range(60)]
