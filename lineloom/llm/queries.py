@@ -29,28 +29,38 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(table(spark, sf_dir, "canonical_rows"))
 
 
-def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Assigned rows and quarantined components; the component table is kept in the folder that ``spark.lineloom.splits`` names."""
     rows = table(spark, sf_dir, "canonical_rows")
     targets = [(r.split_name, r.target_share) for r in table(spark, sf_dir, "split_targets").collect()]
     keys = splits.record_keys(F.col("source"), F.col("instance_id"), F.col("output_origin_instance_id"))
-    return splits.update(rows.select(F.col("sample_id").alias("id"), keys.alias("keys"), F.col("split_name").alias("was")), targets)
+    records = rows.select(F.col("sample_id").alias("id"), keys.alias("keys"), F.col("split_name").alias("was"))
+    if path := spark.conf.get("spark.lineloom.splits", None):
+        return splits.advance(records, targets, path)
+    assigned, _, quarantined = splits.update(records, targets, conflicts=True)
+    return assigned, quarantined
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's component and split; 'moved' rows had another split, 'new' components had none."""
-    assigned, _, _ = _splits(spark, sf_dir)
+    """Every row's component and split; 'moved' rows had another split, 'new' components had none, 'quarantined' ones several."""
+    assigned, _ = _splits(spark, sf_dir)
     return assigned.select(F.col("id").alias("sample_id"), "component", F.col("split").alias("split_name"), "status")
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, components and share of every split against its target."""
-    assigned, _, _ = _splits(spark, sf_dir)
+    assigned, _ = _splits(spark, sf_dir)
     assigned = stable(assigned)
     n = max(assigned.count(), 1)
-    by = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"), F.count_if(F.col("status") == "moved").alias("moved"), (F.count("*") / F.lit(n)).alias("share"))
+    by = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"), F.count_if(F.col("was") != F.col("split")).alias("moved"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), (F.count("*") / F.lit(n)).alias("share"))
     return by.join(F.broadcast(table(spark, sf_dir, "split_targets")), "split_name", "full")
 
 
+def p3_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarantined components: the splits that met in them, and their rows."""
+    return _splits(spark, sf_dir)[1]
+
+
 def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a row in a mix: line, copy, output shard and place in it."""
     mixed, _ = mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
@@ -124,7 +134,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p4_mix, p4_report, p5_pieces, p6_found, p6_report,
+        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_report, p5_pieces, p6_found, p6_report,
         p7_ids, p7_slices, p8_found, p8_items, p9_found, p9_scores,
     ]
     return {f.__name__: f for f in own}

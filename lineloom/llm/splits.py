@@ -77,12 +77,13 @@ def fill(sizes: list[tuple[int, int]], room: dict[str, float]) -> dict[int, str]
     return out
 
 
-def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFrame | None = None, conflicts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assigned, new state, quarantined).
 
-    records: id, keys (array<string>), was (split of an earlier assignment or null). assigned: id, component, split,
+    records: id, keys (array<string>), was (split of an earlier assignment or null). assigned: id, component, split, was,
     status ('kept', 'new', 'moved' if the record had another split, 'quarantined' if its component merged several).
-    quarantined: component, splits (of the components that merged), n_rows.
+    quarantined: component, splits (of the components that merged), n_rows. With ``conflicts``, records that had
+    different splits are a conflict as components of a given state are.
     """
     spark = records.sparkSession
     names = [s for s, _ in targets]
@@ -101,7 +102,7 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     # votes for the split a component has: earlier components by their rows, records by their earlier split
     earlier = old.groupBy("component", "split").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component"), "component").select(F.col("root").alias("component"), "split", "n", F.lit(1).alias("held"))
     cast = of.where("was is not null").groupBy("component", F.col("was").alias("split")).agg(F.count("*").alias("n")).withColumn("held", F.lit(0))
-    votes = earlier.unionByName(cast).groupBy("component").agg(F.max(F.struct("held", "n", "split")).alias("top"), F.array_sort(F.collect_set(F.when(F.col("held") == 1, F.col("split")))).alias("splits"))
+    votes = earlier.unionByName(cast).groupBy("component").agg(F.max(F.struct("held", "n", "split")).alias("top"), F.array_sort(F.collect_set(F.when((F.col("held") == 1) | F.lit(conflicts), F.col("split")))).alias("splits"))
     size = of.groupBy("component").agg(F.count("*").alias("n_new"))
     had = old.groupBy("component").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component"), "component").groupBy(F.col("root").alias("component")).agg(F.sum("n").alias("n_old"))
     comps = stable(
@@ -129,9 +130,43 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     comps = comps.join(F.broadcast(big), "component", "left").withColumn("slot", slot).join(F.broadcast(slots), "slot", "left")
     comps = stable(comps.select("component", "n_rows", "splits", F.col("split").alias("had"), F.coalesce("split", "big", "slotted").alias("split")))
     assigned = of.join(comps, "component").select(
-        "id", "component", "split",
+        "id", "component", "split", "was",
         F.when(F.size("splits") > 1, "quarantined").when(F.col("was").isNotNull() & (F.col("was") != F.col("split")), "moved").when(F.col("had").isNull(), "new").otherwise("kept").alias("status"),
     )
     keys = keyed.unionByName(old.select("node", "key")).distinct()
     after = keys.join(root, "node").select("key", F.col("root").alias("component")).join(comps.select("component", "split", "n_rows"), "component").select("key", "component", "split", "n_rows")
     return assigned, after, comps.where("size(splits) > 1").select("component", "splits", "n_rows")
+
+
+def advance(records: DataFrame, targets: list[tuple[str, float]], path: str) -> tuple[DataFrame, DataFrame]:
+    """(assigned, quarantined) as of :func:`update`, by the component table kept under ``path``.
+
+    Records that are not in the table yet are merged into it and a new version of it is written; the others keep their
+    status unless a merge changes it. A version counts once all its parts are written. One writer at a time.
+    """
+    spark = records.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_there = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+    last = 0
+    while is_there(f"{path}/{last + 1}/quarantined/_SUCCESS"):
+        last += 1
+    part = lambda name, v: spark.read.parquet(f"{path}/{v}/{name}")
+    fresh = records.join(part("records", last).select("id"), "id", "left_anti") if last else records
+    if not last or fresh.take(1):
+        key = F.coalesce(F.array_min("keys"), F.concat(F.lit("row:"), F.col("id").cast("string"))).alias("key")
+        assigned, state, bad = update(fresh, targets, part("state", last) if last else None, conflicts=True)
+        bad = stable(bad)
+        made = assigned.join(fresh.select("id", key), "id").select("id", "key", "was", "split", "status")
+        state.write.mode("overwrite").parquet(f"{path}/{last + 1}/state")
+        if last:
+            now = part("state", last + 1).select("key", "component", F.col("split").alias("now"))
+            status = F.when(F.col("_bad"), "quarantined").when(F.col("now") != F.col("split"), "moved").otherwise(F.col("status"))
+            kept = part("records", last).join(now, "key").join(bad.select("component", F.lit(True).alias("_bad")), "component", "left")
+            made = made.unionByName(kept.select("id", "key", "was", F.col("now").alias("split"), status.alias("status")))
+            bad = part("quarantined", last).unionByName(bad)
+        made.write.mode("overwrite").parquet(f"{path}/{last + 1}/records")
+        bad.write.mode("overwrite").parquet(f"{path}/{last + 1}/quarantined")
+        last += 1
+    known = part("records", last).join(records.select("id"), "id", "left_semi")
+    return known.join(part("state", last).select("key", "component"), "key").select("id", "component", "split", "was", "status"), part("quarantined", last)

@@ -63,6 +63,28 @@ def test_moved_rows_and_empty_input(spark):
     assert got.count() == state.count() == bad.count() == 0
 
 
+def test_conflicts_of_earlier_splits_are_quarantined(spark, sf):
+    rows = [(1, ["a"], "train"), (2, ["a"], "train"), (3, ["a"], "test"), (4, ["b"], "dev")]
+    got, _, bad = splits.update(records(spark, rows), TARGETS, conflicts=True)
+    assert {r.id: (r.split, r.status) for r in got.collect()} == {1: ("train", "quarantined"), 2: ("train", "quarantined"), 3: ("train", "quarantined"), 4: ("dev", "kept")}
+    assert [(r.splits, r.n_rows) for r in bad.collect()] == [(["test", "train"], 3)]
+    marked = {r.component for r in queries.p3_splits(spark, sf).where("status = 'quarantined'").collect()}
+    assert marked == {r.component for r in queries.p3_conflicts(spark, sf).collect()}
+
+
+def test_component_table_is_kept_and_advanced(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    first = [(i, ["a"], "train") for i in range(5)] + [(10, ["b"], "test"), (11, [], None)]
+    got = lambda rows: {r.id: (r.split, r.status) for r in splits.advance(records(spark, rows), TARGETS, path)[0].collect()}
+    one = got(first)
+    assert one[0] == ("train", "kept") and one[10] == ("test", "kept") and one[11][1] == "new" and len(one) == 7
+    assert got(first) == one and not (tmp_path / "splits" / "2").exists()
+    two = got([*first, (20, ["a", "b"], None), (21, ["b"], None)])
+    assert {two[i] for i in (0, 10, 20, 21)} == {("train", "quarantined")} and two[11] == one[11] and len(two) == 9
+    assigned, bad = splits.advance(records(spark, first), TARGETS, path)
+    assert assigned.count() == 7 and [(r.splits, r.n_rows) for r in bad.collect()] == [(["test", "train"], 8)]
+
+
 def test_repository_spellings(spark):
     ids = ["org__my-repo-12", "ORG__MY-REPO-13", "org/my-repo-14", " org__my-repo-15 "]
     df = spark.createDataFrame([(i,) for i in ids], "i string")
