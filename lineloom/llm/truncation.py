@@ -125,10 +125,14 @@ def broken_note(line: str) -> str:
     return "broken" if sure else "maybe"
 
 
+def _body(text: str) -> str:
+    """A whole text without colour codes and the white space at its end."""
+    return (re.sub(_ANSI, "", text) if "\x1b" in text else text).rstrip()
+
+
 def final_line(text: str) -> tuple[str, str]:
     """(last line that is no message, kind of message after it: '', 'omitted' or 'broken'), without colour codes."""
-    body = re.sub(_ANSI, "", text[-20_000:] if len(text) > 20_000 else text).rstrip()
-    head, _, line = body.rpartition("\n")
+    head, _, line = _body(text).rpartition("\n")
     note = ""
     for _ in range(2):
         short = line.strip()
@@ -144,8 +148,7 @@ def line_before(text: str, line: str, note: str) -> str:
     """The line before the last one where that may be a message that a transfer broke off, else ''."""
     if note or broken_note(line) != "maybe":
         return ""
-    head = re.sub(_ANSI, "", text[-20_000:] if len(text) > 20_000 else text).rstrip().rpartition("\n")[0]
-    return final_line(head)[0]
+    return final_line(_body(text).rpartition("\n")[0])[0]
 
 
 class EndingModel:
@@ -294,11 +297,11 @@ def _sample_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if inner:
                 rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text[:2000].encode("utf-8", "replace")))
                 pick = rng.choice(len(inner), min(SAMPLE_LINES, len(inner)), replace=False)
-                out += [(tool, inner[i][-2000:], False) for i in pick]
+                out += [(tool, inner[i], False) for i in pick]
             if plain:
                 line, note = final_line(text)
                 if line.strip() and not note:
-                    out.append((tool, line[-2000:], True))
+                    out.append((tool, line, True))
         yield pd.DataFrame(out, columns=["tool", "line", "is_last"])
 
 

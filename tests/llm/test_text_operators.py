@@ -135,6 +135,13 @@ def test_final_line_before_framed_and_numbered_notes(note):
     assert truncation.final_line(f"a\nsrc/vec\n{note}\n") == ("src/vec", "broken")
 
 
+def test_long_lines_are_taken_whole():
+    long = '{"a": [' + ", ".join(f'"w{i}"' for i in range(8000)) + "]}"
+    assert len(long) > 40_000 and truncation.final_line(f"x\n{long}\n") == (long, "")
+    sample = next(truncation._sample_lines(iter([pd.DataFrame({"tool": ["t"], "text": [f"{long}\n{long}"], "plain": [True]})])))
+    assert list(sample.line) == [long, long]
+
+
 def test_line_before_what_may_be_a_note():
     for last, before in [("recv_loop: lost 3 frames", "src/vec"), ("Nobody has lost 3 rows.", "src/vec"), ("b = 1", "")]:
         text = f"a\nsrc/vec\n{last}"
