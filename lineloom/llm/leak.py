@@ -190,10 +190,11 @@ def _scanner(items: Items, least: float):
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = SHARE) -> DataFrame:
-    """Every document and item that share a run of ``RUN`` words, with their tiles and covered words.
+    """Documents and items with at least ``least`` of the item's words under shared runs of ``RUN`` words, with their tiles.
 
     docs: doc_id, text; items: item_id, text. tiled counts the words of the tiles, covered those under any shared run,
-    which no tiling can exceed; so pairs with a covered share under ``least`` are not tiled.
+    which no tiling can exceed; so pairs with a covered share under ``least`` are neither tiled nor given. With 0 every
+    pair that shares a run is tiled and given.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     result, block, words = None, [], 0

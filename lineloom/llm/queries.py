@@ -109,8 +109,8 @@ def p7_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.token_ids(table(spark, sf_dir, "documents"), offsets=True)
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def _leaks(spark: SparkSession, sf_dir: str, least: float = leak.SHARE) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +118,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per test item that leaked: documents that hold it, its best coverage, and whether a copy is reordered."""
+    """Per test item that shares a run: documents that hold it, those with less than half of it, its best coverage, and whether a copy is reordered."""
     share = F.col("covered") / F.col("item_words")
-    return _leaks(spark, sf_dir).where(share >= leak.SHARE).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"), F.bool_or("reordered").alias("reordered"))
+    held = share >= leak.SHARE
+    return _leaks(spark, sf_dir, 0.0).groupBy("item_id").agg(F.countDistinct(F.when(held, F.col("doc_id"))).alias("documents"), F.countDistinct(F.when(~held, F.col("doc_id"))).alias("partial"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"), F.bool_or(held & F.col("reordered")).alias("reordered"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,16 @@ def test_leaks_reordered_repeated_and_hostile(spark, monkeypatch):
     assert leak.leaks(df, items.limit(0)).count() == 0 and leak.leaks(df.limit(0), items).count() == 0
 
 
+def test_items_report_partial_leaks(spark, tmp_path):
+    w = [f"w{i}" for i in range(40)]
+    docs(spark, [" ".join(w), " ".join(w[:7]) + " gap", "nothing", " ".join(w[:4])]).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, " ".join(w)), (2, " ".join(w[:6] + ["y"] * 20)), (3, "not in any document at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {r.item_id: (r.documents, r.partial, r.best_cover, r.longest_tile) for r in queries.p8_items(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 1.0, 40), 2: (0, 2, 0.2308, 6)}
+    assert {tuple(r) for r in queries.p8_found(spark, str(tmp_path)).collect()} == {(0, 1)}
+
+
 def test_tiles_are_longest_first_and_disjoint():
     assert leak.tile([(0, 0, 10), (5, 20, 12)], 20, 40) == [(5, 20, 12), (0, 0, 5)]
 
