@@ -63,13 +63,18 @@ def p3_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a row in a mix: line, copy, output shard and place in it."""
-    mixed, _ = mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
-    return mixed
+    return mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
+
+
+def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each row is used in each line of a mix."""
+    used, lines = mixing.planned(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
+    names = spark.createDataFrame([(x["line"], x["mix"], x["source"], x["tool"]) for x in lines], f"line int, {mixing.USES}")
+    return used.where("copies > 0").join(F.broadcast(names), "line").select("mix_name", "source", "tool_type", F.col("id").alias("sample_id"), "copies")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, planned = mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
-    return mixing.report(mixed, planned)
+    return mixing.report(*mixing.planned(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets")))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +140,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_report, p5_pieces, p6_found, p6_report,
+        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_report,
         p7_ids, p7_slices, p8_found, p8_items, p9_found, p9_scores,
     ]
     return {f.__name__: f for f in own}
@@ -157,8 +162,28 @@ ig as (select item_id, i, list_aggregate(ws[i : i + 4], 'string_agg', ' ') as g
 under as (select distinct doc_id, item_id, i + j as p from dg join ig using (g), range(0, 5) as t(j))"""
 
 
+_MIX = """ln as (select *, mix_name || '|' || source || '|' || coalesce(tool_type, '') || '|' as nm from mix_targets),
+rw as (select l.nm, c.sample_id, length(c.tool_output) as n, substr(md5(l.nm || c.sample_id), 1, 15) as pos from canonical_rows c join ln l on c.source = l.source and (l.tool_type = c.tool_type
+  or (l.tool_type is null and not exists (select 1 from mix_targets o where o.mix_name = l.mix_name and o.source = l.source and o.tool_type = c.tool_type))) where length(c.tool_output) > 0),
+tot as (select l.*, count(r.n) as available_rows, coalesce(sum(r.n), 0)::bigint as total from ln l left join rw r using (nm) group by all),
+cap as (select nm, mix_name, total * max_repeats / target_share as r, target_share as s from tot where total > 0 and max_repeats > 0 and target_share > 0),
+ranked as (select *, coalesce(sum(s) over (partition by mix_name order by r rows between unbounded preceding and 1 preceding), 0) as short, sum(s) over (partition by mix_name) as shares from cap),
+lev as (select mix_name, max(r) as lev from ranked where short <= 0.1::double * shares + 1e-9 group by mix_name),
+quo as (select t.*, least(total * max_repeats, coalesce(floor(lev * target_share + 1e-6), 0))::bigint as quota from tot t left join lev using (mix_name)),
+rnd as (select *, case when total > 0 then quota // total else 0 end as rounds, case when total > 0 then quota % total else 0 end as rest from quo),
+run as (select r.*, d.rounds, d.rest, sum(n) over (partition by r.nm order by pos) as upto from rw r join rnd d using (nm)),
+mis as (select nm, any_value(rest) - coalesce(max(case when upto <= rest then upto end), 0) as missing from run group by nm),
+ext as (select nm, arg_min(sample_id, (-n, pos)) as sample_id from run join mis using (nm) where upto > rest and n <= missing group by nm),
+uses as (select run.*, run.rounds + (upto <= rest or e.sample_id is not null)::int as copies from run left join ext e on e.nm = run.nm and e.sample_id = run.sample_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_rows": f"with {_MIX} select mix_name, source, tool_type, sample_id, cast(copies as integer) as copies from uses join ln using (nm) where copies > 0",
+        "p4_report": f"""with {_MIX}, got as (select nm, count(*) as n_rows, sum(copies)::bigint as n_uses, max(copies)::bigint as most_uses, sum(n * copies)::bigint as chars from uses where copies > 0 group by nm),
+mx as (select mix_name, greatest(sum(quota), 1) as all_planned, greatest(coalesce(sum(chars), 0), 1) as all_chars from rnd left join got using (nm) group by mix_name)
+select mix_name, source, tool_type, target_share, max_repeats, available_rows, total as available_chars, quota as planned_chars, quota / all_planned as planned_share, coalesce(n_rows, 0) as n_rows,
+  coalesce(n_uses, 0) as n_uses, coalesce(most_uses, 0) as most_uses, coalesce(chars, 0) as chars, coalesce(chars, 0) / all_chars as reached_share from rnd left join got using (nm) join mx using (mix_name)""",
         "p2_found": f"with {_PAIRS} select sample_id_a, sample_id_b from near",
         "p6_found": f"""with {_PAIRS}, {_QUERY}, c as (select sample_id_a, sample_id_b, a.ws as wa, b.ws as wb from near join q a on a.sample_id = sample_id_a join q b on b.sample_id = sample_id_b where (a.split_name = 'train') <> (b.split_name = 'train')),
 both_ as (select sample_id_a, sample_id_b, coalesce(sum(case when y.k is null then 0 else least(x.k, y.k) end), 0) as shared from c left join qt x on x.sample_id = sample_id_a left join qt y on y.sample_id = sample_id_b and y.w = x.w group by sample_id_a, sample_id_b)

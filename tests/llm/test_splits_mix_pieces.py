@@ -91,34 +91,69 @@ def test_repository_spellings(spark):
     assert {r[0] for r in df.select(splits.repo_key(F.col("i"))).collect()} == {"repo:org-my-repo"}
 
 
+T = "mix_name string, source string, tool_type string, target_share double, max_repeats int"
+
+
 def test_mix_meets_shares_and_repeats(spark, sf):
     rows = table(spark, sf, "canonical_rows")
-    targets = spark.createDataFrame([("m", "swe", None, 0.6, 1), ("m", "synthetic", None, 0.4, 4)], "mix_name string, source string, tool_type string, target_share double, max_repeats int")
-    mixed, planned = mixing.mix(rows, targets, shards=4)
-    got = mixed.collect()
+    targets = spark.createDataFrame([("m", "swe", None, 0.6, 1), ("m", "synthetic", None, 0.4, 4)], T)
+    got = mixing.mix(rows, targets, shards=4).collect()
     size = {r.sample_id: len(r.tool_output) for r in rows.collect()}
     uses = defaultdict(list)
     for r in got:
         uses[r.source, r.sample_id].append(r.copy)
         assert r.n_chars == size[r.sample_id] and 0 <= r.shard < 4
-    assert all(len(c) == len(set(c)) <= {"swe": 1, "synthetic": 4}[s] for (s, _), c in uses.items())
-    for r in mixing.report(mixed, planned).collect():
-        assert abs(r.reached_share - r.target_share) < 0.02
-    # nothing larger is possible: one line is used up
-    by = {x["source"]: x for x in planned}
-    assert any(math.isclose(x["quota"], x["total"] * x["repeats"], rel_tol=0.01) for x in by.values())
+    assert all(sorted(c) == list(range(len(c))) and len(c) <= {"swe": 1, "synthetic": 4}[s] for (s, _), c in uses.items())
+    for r in mixing.report(*mixing.planned(rows, targets)).collect():
+        assert abs(r.reached_share - r.target_share) < 0.01 and r.chars <= r.planned_chars
+        assert sum(x.n_chars for x in got if x.source == r.source) == r.chars
+    assert {r.shard for r in got} == {0, 1, 2, 3}
+
+
+def test_short_and_absent_lines_give_what_they_have(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 400 else "b" if i < 800 else "c", "t" if i % 2 else "u", "x" * (50 + i % 7)) for i in range(801)], "sample_id long, source string, tool_type string, tool_output string")
+    targets = spark.createDataFrame([("m", "a", None, 0.5, 1), ("m", "b", "t", 0.3, 2), ("m", "c", "u", 0.05, 3), ("m", "gone", None, 0.15, 9)], T)
+    used, lines = mixing.planned(rows, targets)
+    by = {r.source: r for r in mixing.report(used, lines).collect()}
+    assert by["gone"].chars == 0 == by["gone"].reached_share and by["c"].n_uses == 3 == by["c"].most_uses
+    rest = 1 - by["c"].reached_share
+    assert abs(by["a"].reached_share - rest * 0.5 / 0.8) < 0.005 and abs(by["b"].reached_share - rest * 0.3 / 0.8) < 0.005
+    for size in (3_000, 20_000, 10**9):
+        out = mixing.report(*mixing.planned(rows, targets, size=size)).collect()
+        assert all(r.most_uses <= r.max_repeats for r in out)
+        total = sum(r.chars for r in out)
+        assert size - 300 < total <= size if size < 10**9 else total == sum(r.available_chars * r.max_repeats for r in out)
+
+
+def test_part_round_is_found_by_nested_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rows = spark.createDataFrame([(0, i, n, p) for i, (n, p) in enumerate([(5, 7), (3, 9), (4, 9), (10, 2**40), (1, 2**59), (9, 2**59 + 1)])] + [(1, 9, 4, 3)], "line int, id long, n long, pos long")
+    for rest, want in ((4, (6, 4)), (5, (8, 0)), (11, (8, 6)), (12, (2**40 - 1, 0)), (23, (2**59, 0)), (25, (2**59, 2))):
+        last, missing = mixing._part_rounds(rows, {0: rest})[0]
+        taken = [r.n for r in rows.where(f"line = 0 and pos <= {last}").collect()]
+        assert sum(taken) == rest - missing == rest - want[1]
+
+
+def test_shards_are_written_in_their_order(spark, sf, tmp_path):
+    mixed = mixing.mix(table(spark, sf, "canonical_rows"), table(spark, sf, "mix_targets"), shards=3)
+    mixing.write_shards(mixed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select("sample_id", "copy", "place").collect())) == sorted(map(tuple, mixed.select("sample_id", "copy", "place").collect()))
 
 
 def test_mix_of_hostile_rows(spark):
-    schema = "sample_id long, source string, tool_type string, tool_output string, line int, n int, block int, copy int"
+    schema = "sample_id long, source string, tool_type string, tool_output string, line int, n int, pos int, copies int"
     rows = spark.createDataFrame([(1, "a", "t", None, 1, 1, 1, 1), (2, "a", "t", "", 1, 1, 1, 1), (3, "a", None, "xx" * 50, 1, 1, 1, 1), (4, "b", "t", "y" * 100, 1, 1, 1, 1), (5, None, "t", "z", 1, 1, 1, 1)], schema)
-    t = "mix_name string, source string, tool_type string, target_share double, max_repeats int"
-    mixed, planned = mixing.mix(rows, spark.createDataFrame([("m", "a", None, 0.5, 2), ("m", "b", "t", 0.5, 2)], t))
-    assert sorted((r.sample_id, r.copy) for r in mixed.collect()) == [(3, 0), (3, 1), (4, 0), (4, 1)]
-    none, planned = mixing.mix(rows, spark.createDataFrame([("m", "a", None, 0.5, 2), ("m", "gone", None, 0.5, 2)], t))
-    assert none.count() == 0 and mixing.report(none, planned).count() == 2
-    assert mixing.mix(rows, spark.createDataFrame([], t))[0].count() == 0
-    assert mixing.mix(rows.limit(0), spark.createDataFrame([("m", "a", None, 1.0, 2)], t))[0].count() == 0
+    targets = spark.createDataFrame([("m", "a", None, 0.5, 2), ("m", "b", "t", 0.5, 2)], T)
+    assert sorted((r.sample_id, r.copy) for r in mixing.mix(rows, targets).collect()) == [(3, 0), (3, 1), (4, 0), (4, 1)]
+    # a row of its own tool's line isn't in that of any tool; rows of one id go together
+    both = spark.createDataFrame([("m", "a", None, 0.5, 2), ("m", "a", "t", 0.5, 2)], T)
+    again = rows.unionByName(rows.where("sample_id = 4").withColumn("source", F.lit("a"))).unionByName(rows.where("sample_id = 3"))
+    got = mixing.mix(again, both).groupBy("tool_type", "sample_id").count().collect()
+    assert {(r.tool_type, r.sample_id): r["count"] for r in got} == {(None, 3): 2, ("t", 4): 2}
+    assert mixing.mix(rows, spark.createDataFrame([], T)).count() == 0
+    assert mixing.mix(rows.limit(0), spark.createDataFrame([("m", "a", None, 1.0, 2)], T)).count() == 0
 
 
 def test_splitting_tree_is_exact():
