@@ -2,14 +2,14 @@
 
 Greedy string tiling. Words are runs of letters and digits in lower case. Rolling Karp-Rabin hashes of every ``RUN``
 words of a document are looked up among those of the evaluation items; each document and item with a shared run is a
-candidate. Its seeds are joined into maximal matches, and the longest match that still has unmarked words is marked as
-a tile, again and again, until none of ``RUN`` words is left; tiles never overlap in item or document. Reordered
-passages are several tiles. An exact count follows: the words of the item under any shared run, marked or not. Hashes
-only propose; words are compared.
-
-Items are taken in blocks of at most ``BLOCK_WORDS`` words, and every block meets every document, so the index that is
-sent to the workers is bounded however many items there are. Null and empty texts, and items under ``RUN`` words, are
-in no result. Rows with the same id count as one.
+candidate. Its seeds are joined into maximal matches, and the match with the most unmarked item words is marked as a
+tile, again and again, until no match has any left. Words are marked on the item's side only, so tiles never overlap in
+the item, a document's words may serve again, and the words of all tiles are exactly the item's words that lie in shared
+runs. That coverage is what the threshold is held against. Reordered passages are several tiles.
+
+Items of up to ``BLOCK_WORDS`` words in all are sent to the workers as an index, and words are compared. Larger sets are
+joined to the documents by 128-bit hashes of runs, which then decide. Null and empty texts, and items under ``RUN``
+words, are in no result. Rows with the same id count as one.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import row_chunks
+from .text import WordHashes, mix64, row_chunks
 
 RUN = 5
 SHARE = 0.5
@@ -91,29 +93,36 @@ def maximal(seeds: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(s[a, 0]), int(s[a, 1]), int(b - a) + RUN - 1) for a, b in zip(at, stop)]
 
 
-def tile(matches: list[tuple[int, int, int]], item_words: int, doc_words: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of maximal matches: longest first, each word of item and document in one tile at most."""
-    item, doc = np.zeros(item_words, bool), np.zeros(doc_words, bool)
+def tile(matches: list[tuple[int, int, int]], item_words: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling by maximal matches: most unmarked words first, each word of the item in one tile."""
+    marked = np.zeros(item_words, bool)
     heap = [(-n, p, d) for p, d, n in matches]
     heapq.heapify(heap)
     tiles = []
     while heap:
         n, p, d = heapq.heappop(heap)
         n = -n
-        taken = item[p : p + n] | doc[d : d + n]
+        taken = marked[p : p + n]
         if not taken.any():
-            item[p : p + n] = True
-            doc[d : d + n] = True
+            marked[p : p + n] = True
             tiles.append((p, d, n))
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
         for a, b in zip(edge[::2], edge[1::2]):
-            if b - a >= RUN:
-                heapq.heappush(heap, (-int(b - a), p + int(a), d + int(a)))
+            heapq.heappush(heap, (-int(b - a), p + int(a), d + int(a)))
     return tiles
 
 
-_LEAKS = "doc_id long, item_id long, item_words int, tiles int, tiled int, longest int, covered int, reordered boolean"
+def tiled(seeds: np.ndarray, item_words: int) -> tuple[int, int, int, bool]:
+    """(tiles, words in tiles, longest tile, whether tiles stand in another order in the document) of seeds."""
+    tiles = tile(maximal(seeds), item_words)
+    in_doc = [t[1] for t in sorted(tiles)]
+    return len(tiles), sum(t[2] for t in tiles), max(t[2] for t in tiles), in_doc != sorted(in_doc)
+
+
+_LEAKS = "doc_id long, item_id long, item_words int, tiles int, tiled int, longest int, reordered boolean"
+#: Seeds that one step of a worker holds, unless a single document has more.
+STEP_SEEDS = 4_000_000
 
 
 def _numbers(texts: list, vocab: dict[str, int]) -> list[np.ndarray]:
@@ -125,17 +134,7 @@ def _numbers(texts: list, vocab: dict[str, int]) -> list[np.ndarray]:
     return out
 
 
-def _under(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, item words under any seed of the key); seeds are (key, item position)."""
-    both = np.unique(np.stack([key, place], axis=1), axis=0)
-    k, p = both[:, 0], both[:, 1]
-    last = np.append(k[1:] != k[:-1], True)
-    gain = np.where(last, RUN, np.minimum(RUN, np.append(p[1:], 0) - p))
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    return k[first], np.add.reduceat(gain, first)
-
-
-def _scanner(items: Items, least: float):
+def _scanner(items: Items):
     item_base = np.concatenate([[0], np.cumsum([len(w) for w in items.words])]).astype(np.int64)
     item_words = np.concatenate(items.words) if items.words else np.empty(0, np.int64)
     item_size = np.diff(item_base)
@@ -156,63 +155,102 @@ def _scanner(items: Items, least: float):
                 doc_of = np.repeat(np.arange(len(docs)), size)
                 pos = np.flatnonzero((known[RUN:] - known[: len(h)] == 0) & (doc_of[: len(h)] == doc_of[RUN - 1 :]))
                 lo = np.searchsorted(items.hashes, h[pos], "left")
-                hi = np.searchsorted(items.hashes, h[pos], "right")
-                n = hi - lo
-                p = np.repeat(pos, n)
-                place = items.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                start = item_base[place[:, 0]] + place[:, 1]
-                same = np.ones(len(p), bool)
-                for j in range(RUN):
-                    same &= item_words[start + j] == flat[p + j]
-                p, place = p[same], place[same]
-                if not len(p):
-                    continue
-                key = doc_of[p] * len(items.id) + place[:, 0]
-                keys, under = _under(key, place[:, 1])
-                keep = under >= least * item_size[keys % len(items.id)]
-                keys, under = keys[keep], under[keep]
-                order = np.argsort(key, kind="stable")
-                left, right = np.searchsorted(key[order], keys, "left"), np.searchsorted(key[order], keys, "right")
-                for k, words, a, b in zip(keys, under, left, right):
-                    doc, item = divmod(int(k), len(items.id))
-                    part = order[a:b]
-                    tiles = tile(maximal(np.stack([place[part, 1], p[part] - base[doc]], axis=1)), int(item_size[item]), int(size[doc]))
-                    in_doc = [t[1] for t in sorted(tiles)]
-                    out.append((ids[at + doc], items.id[item], int(item_size[item]), len(tiles), sum(t[2] for t in tiles), max(t[2] for t in tiles), int(words), in_doc != sorted(in_doc)))
+                n = np.searchsorted(items.hashes, h[pos], "right") - lo
+                for a, b in _steps(doc_of[pos], n):
+                    out += pairs(docs, ids, at, base, doc_of, flat, pos[a:b], lo[a:b], n[a:b])
             if out:
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.int32()) for x in c[2:7]), pa.array(c[7], pa.bool_())],
-                    names=["doc_id", "item_id", "item_words", "tiles", "tiled", "longest", "covered", "reordered"],
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.int32()) for x in c[2:6]), pa.array(c[6], pa.bool_())],
+                    names=["doc_id", "item_id", "item_words", "tiles", "tiled", "longest", "reordered"],
                 )
 
+    def pairs(docs: list, ids: list, at: int, base: np.ndarray, doc_of: np.ndarray, flat: np.ndarray, pos: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple]:
+        p = np.repeat(pos, n)
+        place = items.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        start = item_base[place[:, 0]] + place[:, 1]
+        same = np.ones(len(p), bool)
+        for j in range(RUN):
+            same &= item_words[start + j] == flat[p + j]
+        p, place = p[same], place[same]
+        key = doc_of[p] * len(items.id) + place[:, 0]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        out = []
+        for part in np.split(order, first[1:]) if len(order) else []:
+            doc, item = divmod(int(key[part[0]]), len(items.id))
+            out.append((ids[at + doc], items.id[item], int(item_size[item]), *tiled(np.stack([place[part, 1], p[part] - base[doc]], axis=1), int(item_size[item]))))
+        return out
+
     return scan
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = SHARE) -> DataFrame:
-    """Documents and items with at least ``least`` of the item's words under shared runs of ``RUN`` words, with their tiles.
+def _steps(doc: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of positions with at most ``STEP_SEEDS`` seeds, or of one document."""
+    if not len(n):
+        return []
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    upto = np.cumsum(n)
+    cuts, start = [0], 0
+    for a, b in zip(first, np.append(first[1:], len(n))):
+        if a > cuts[-1] and upto[b - 1] - start > STEP_SEEDS:
+            cuts.append(int(a))
+            start = int(upto[a - 1])
+    return list(zip(cuts, [*cuts[1:], len(n)]))
+
+
+_RUNS = "id long, text_key long, words int, pos int, h1 long, h2 long"
+
+
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    for batch in batches:
+        for at, texts in row_chunks(batch, 1):
+            words = [np.fromiter(map(cache.__getitem__, words_of(t)), np.uint64) if t else np.empty(0, np.uint64) for t in texts]
+            size = np.array([len(w) for w in words])
+            flat = np.concatenate(words)
+            doc = np.repeat(np.arange(len(texts)), size)
+            h1 = rolling(flat)
+            if not len(h1):
+                continue
+            h2 = rolling(mix64(flat))
+            ok = np.flatnonzero(doc[: len(h1)] == doc[RUN - 1 :])
+            key = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            ids = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
+            d = doc[ok]
+            pos = ok - (np.cumsum(size) - size)[d]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[d], pa.int64()), pa.array(key[d]), pa.array(size[d].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64))],
+                names=["id", "text_key", "words", "pos", "h1", "h2"],
+            )
+
+
+def _tile_group(seeds: pd.DataFrame) -> pd.DataFrame:
+    r = seeds.iloc[0]
+    out = tiled(seeds[["item_pos", "doc_pos"]].to_numpy(np.int64), int(r.item_words))
+    return pd.DataFrame([(r.doc_id, r.item_id, r.item_words, *out)], columns=["doc_id", "item_id", "item_words", "tiles", "tiled", "longest", "reordered"])
+
+
+def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As :func:`leaks`, by a shuffle join of hashed runs: for items that are too many to be sent to the workers."""
+    d = docs.select("doc_id", "text").mapInArrow(_run_batches, _RUNS).select(F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), F.col("pos").alias("doc_pos"), "h1", "h2")
+    i = items.select("item_id", "text").mapInArrow(_run_batches, _RUNS).select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("words").alias("item_words"), F.col("pos").alias("item_pos"), "h1", "h2")
+    return d.join(i, ["h1", "h2"]).groupBy("doc_id", "doc_key", "item_id", "item_key").applyInPandas(_tile_group, _LEAKS)
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every document and item that share a run of ``RUN`` words, with the item's tiles.
 
-    docs: doc_id, text; items: item_id, text. tiled counts the words of the tiles, covered those under any shared run,
-    which no tiling can exceed; so pairs with a covered share under ``least`` are neither tiled nor given. With 0 every
-    pair that shares a run is tiled and given.
+    docs: doc_id, text; items: item_id, text. tiled counts the item's words that lie in shared runs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    result, block, words = None, [], 0
-    scans = []
-    for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = len(r.text) // 4 + 1
-        if block and words + n > BLOCK_WORDS:
-            scans.append(block)
-            block, words = [], 0
-        block.append((r.item_id, r.text))
-        words += n
-    scans.append(block)
-    for block in scans:
-        found = rows.mapInArrow(_scanner(Items(block), least), _LEAKS)
-        result = found if result is None else result.unionByName(found)
-    return result
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    most = items.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0  # a word and what ends it have two characters at least
+    if most > BLOCK_WORDS:
+        return joined(rows, items)
+    return rows.mapInArrow(_scanner(Items([(r.item_id, r.text) for r in items.collect()])), _LEAKS)
 
 
 def leaked(found: DataFrame) -> DataFrame:
-    """doc_id, item_id with at least half of the item's words under shared runs (once each)."""
-    return found.where(F.col("tiles") > 0).where(F.col("covered") >= SHARE * F.col("item_words")).select("doc_id", "item_id").distinct()
+    """doc_id, item_id with at least half of the item's words in tiles (once each)."""
+    return found.where(F.col("tiled") >= SHARE * F.col("item_words")).select("doc_id", "item_id").distinct()

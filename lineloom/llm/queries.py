@@ -114,8 +114,8 @@ def p7_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.token_ids(table(spark, sf_dir, "documents"), offsets=True)
 
 
-def _leaks(spark: SparkSession, sf_dir: str, least: float = leak.SHARE) -> DataFrame:
-    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least)
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per test item that shares a run: documents that hold it, those with less than half of it, its best coverage, and whether a copy is reordered."""
-    share = F.col("covered") / F.col("item_words")
+    """Per test item that shares a run: documents that hold it, those with less than half of it, its best coverage, and its longest tile."""
+    share = F.col("tiled") / F.col("item_words")
     held = share >= leak.SHARE
-    return _leaks(spark, sf_dir, 0.0).groupBy("item_id").agg(F.countDistinct(F.when(held, F.col("doc_id"))).alias("documents"), F.countDistinct(F.when(~held, F.col("doc_id"))).alias("partial"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"), F.bool_or(held & F.col("reordered")).alias("reordered"))
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct(F.when(held, F.col("doc_id"))).alias("documents"), F.countDistinct(F.when(~held, F.col("doc_id"))).alias("partial"), F.round(F.max(share), 4).alias("best_cover"), F.max("longest").alias("longest_tile"))
+
+
+def p8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item that share a run of words, and the item's words in tiles."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "item_words", F.col("tiled").alias("covered"), "longest")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +146,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_report,
-        p7_ids, p7_slices, p8_found, p8_items, p9_found, p9_scores,
+        p7_ids, p7_slices, p8_found, p8_items, p8_pairs, p9_found, p9_scores,
     ]
     return {f.__name__: f for f in own}
 
@@ -177,6 +182,14 @@ ext as (select nm, arg_min(sample_id, (-n, pos)) as sample_id from run join mis
 uses as (select run.*, run.rounds + (upto <= rest or e.sample_id is not null)::int as copies from run left join ext e on e.nm = run.nm and e.sample_id = run.sample_id)"""
 
 
+_TILED = """n as (select doc_id, item_id, count(*) as n from under group by doc_id, item_id),
+dp as (select doc_id, i, list_aggregate(ws[i : i + 4], 'string_agg', ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from dw)),
+seed as (select doc_id, item_id, ig.i as p, dp.i - ig.i as diag from dp join ig using (g)),
+isle as (select *, p - row_number() over (partition by doc_id, item_id, diag order by p) as k from seed),
+lng as (select doc_id, item_id, max(c) + 4 as longest from (select doc_id, item_id, diag, k, count(*) as c from isle group by all) group by doc_id, item_id),
+pairs as (select doc_id, item_id, cast(len(ws) as integer) as item_words, cast(n as integer) as covered, cast(longest as integer) as longest from n join iw using (item_id) join lng using (doc_id, item_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_rows": f"with {_MIX} select mix_name, source, tool_type, sample_id, cast(copies as integer) as copies from uses join ln using (nm) where copies > 0",
@@ -189,5 +202,8 @@ select mix_name, source, tool_type, target_share, max_repeats, available_rows, t
 both_ as (select sample_id_a, sample_id_b, coalesce(sum(case when y.k is null then 0 else least(x.k, y.k) end), 0) as shared from c left join qt x on x.sample_id = sample_id_a left join qt y on y.sample_id = sample_id_b and y.w = x.w group by sample_id_a, sample_id_b)
 select sample_id_a, sample_id_b from c join both_ using (sample_id_a, sample_id_b) where len(wa) - shared <= 2 and len(wb) - shared <= 2
 and list_sort(list_distinct(list_filter(wa, lambda w: regexp_matches(w, '[_/.0-9]')))) = list_sort(list_distinct(list_filter(wb, lambda w: regexp_matches(w, '[_/.0-9]'))))""",
+        "p8_pairs": f"with {_LEAK}, {_TILED} select doc_id, item_id, item_words, covered, longest from pairs",
+        "p8_items": f"""with {_LEAK}, {_TILED} select item_id, count(distinct case when covered >= 0.5 * item_words then doc_id end) as documents, count(distinct case when covered < 0.5 * item_words then doc_id end) as partial,
+round(max(covered / item_words), 4) as best_cover, max(longest) as longest_tile from pairs group by item_id""",
         "p8_found": f"with {_LEAK}, n as (select doc_id, item_id, count(*) as n from under group by doc_id, item_id) select doc_id, item_id from n join iw using (item_id) where n >= 0.5 * len(ws)",
     }
