@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import small_enough, stable
@@ -87,13 +87,14 @@ def bits_of(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(b, axis=1).view(">u8").astype(np.uint64).view(np.int64)
 
 
-_SKETCHED = "id long, n int, k1 long, k2 long, s1 long, s2 long, s3 long, bands array<long>"
+_SKETCHED = "id long, tag int, n int, k1 long, k2 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
+        tags = batch.column(2).to_numpy(zero_copy_only=False)
         for offset, texts in row_chunks(batch, 1):
             row, elem = bag_elements(texts, cache)
             size = np.bincount(row, minlength=len(texts))
@@ -114,19 +115,21 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[offset + some], pa.int64()),
+                    pa.array(tags[offset + some], pa.int32()),
                     pa.array(size[some], pa.int32()),
                     pa.array(k1.view(np.int64)),
                     pa.array(k2.view(np.int64)),
                     *(pa.array(np.ascontiguousarray(w[:, j])) for j in range(3)),
                     list_column(bands_of(s).ravel(), np.full(n, BANDS), pa.int64()),
                 ],
-                names=["id", "n", "k1", "k2", "s1", "s2", "s3", "bands"],
+                names=["id", "tag", "n", "k1", "k2", "s1", "s2", "s3", "bands"],
             )
 
 
-def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (words), k1 and k2 (128-bit key of the bag), filter words s1-s3 and band hashes of texts of enough words."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+def sketched(df: DataFrame, id_col: str, text_col: str, tag: Column | None = None) -> DataFrame:
+    """id, tag (an int that goes along), n (words), k1 and k2 (128-bit key of the bag), filter words s1-s3 and band hashes of texts of enough words."""
+    tag = F.lit(0) if tag is None else tag.cast("int")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), tag.alias("tag")).where("id is not null and text is not null")
     return rows.mapInArrow(_sketch_batches, _SKETCHED)
 
 

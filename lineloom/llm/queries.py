@@ -96,13 +96,23 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = overlap.overlaps(table(spark, sf_dir, "canonical_rows"))
+    rows = table(spark, sf_dir, "canonical_rows")
+    members, pairs = overlap.near_texts(rows)
+    found = overlap.same_queries(members, stable(pairs), rows)
     return found.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b"))
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-same texts of evaluation and training rows under any query: pairs of the smallest ids with their bags of words."""
+    _, pairs = overlap.near_texts(table(spark, sf_dir, "canonical_rows"))
+    return pairs.select("eval_id", "train_id", F.round("shared", 4).alias("shared"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "canonical_rows")
-    return overlap.report(stable(overlap.overlaps(rows)), rows)
+    members, pairs = overlap.near_texts(rows)
+    pairs = stable(pairs)
+    return overlap.report(members, pairs, stable(overlap.same_queries(members, pairs, rows)), rows)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +155,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_report,
+        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_texts, p6_report,
         p7_ids, p7_slices, p8_found, p8_items, p8_pairs, p9_found, p9_scores,
     ]
     return {f.__name__: f for f in own}
@@ -154,12 +164,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _PAIRS = f"""r as (select sample_id, list_filter(string_split_regex(lower(tool_output), '{WS}+'), lambda w: w <> '') as ws from canonical_rows),
 big as (select sample_id, len(ws) as n, ws from r where len(ws) >= 8),
 tf as (select sample_id, n, w, count(*) as k from (select sample_id, n, unnest(ws) as w from big) group by all),
-near as (select a.sample_id as sample_id_a, b.sample_id as sample_id_b from tf a join tf b on a.w = b.w and a.sample_id < b.sample_id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)
+near as (select a.sample_id as sample_id_a, b.sample_id as sample_id_b, sum(least(a.k, b.k)) / greatest(a.n, b.n) as shared from tf a join tf b on a.w = b.w and a.sample_id < b.sample_id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)
   group by a.sample_id, b.sample_id, a.n, b.n having sum(least(a.k, b.k)) >= 0.75 * greatest(a.n, b.n))"""
 
 _QUERY = f"""q as (select sample_id, split_name, list_filter(list_transform(string_split_regex(lower(query), '{WS}+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '') as ws from canonical_rows where split_name is not null),
 qt as (select sample_id, w, count(*) as k from (select sample_id, unnest(ws) as w from q) group by all)"""
 
+_CROSS = """c as (select sample_id_a, sample_id_b, case when a.split_name = 'train' then sample_id_b else sample_id_a end as eval_id, shared, a.ws as wa, b.ws as wb
+  from near join q a on a.sample_id = sample_id_a join q b on b.sample_id = sample_id_b where (a.split_name = 'train') <> (b.split_name = 'train')),
+both_ as (select sample_id_a, sample_id_b, coalesce(sum(case when y.k is null then 0 else least(x.k, y.k) end), 0) as common from c left join qt x on x.sample_id = sample_id_a left join qt y on y.sample_id = sample_id_b and y.w = x.w group by sample_id_a, sample_id_b),
+fnd as (select sample_id_a, sample_id_b, eval_id from c join both_ using (sample_id_a, sample_id_b) where len(wa) - common <= 2 and len(wb) - common <= 2
+  and list_sort(list_distinct(list_filter(wa, lambda w: regexp_matches(w, '[_/.0-9]')))) = list_sort(list_distinct(list_filter(wb, lambda w: regexp_matches(w, '[_/.0-9]')))))"""
+
 _LEAK = """dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from documents where text is not null),
 iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from eval_items),
 dg as (select distinct doc_id, list_aggregate(ws[i : i + 4], 'string_agg', ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from dw)),
@@ -198,10 +214,12 @@ mx as (select mix_name, greatest(sum(quota), 1) as all_planned, greatest(coalesc
 select mix_name, source, tool_type, target_share, max_repeats, available_rows, total as available_chars, quota as planned_chars, quota / all_planned as planned_share, coalesce(n_rows, 0) as n_rows,
   coalesce(n_uses, 0) as n_uses, coalesce(most_uses, 0) as most_uses, coalesce(chars, 0) as chars, coalesce(chars, 0) / all_chars as reached_share from rnd left join got using (nm) join mx using (mix_name)""",
         "p2_found": f"with {_PAIRS} select sample_id_a, sample_id_b from near",
-        "p6_found": f"""with {_PAIRS}, {_QUERY}, c as (select sample_id_a, sample_id_b, a.ws as wa, b.ws as wb from near join q a on a.sample_id = sample_id_a join q b on b.sample_id = sample_id_b where (a.split_name = 'train') <> (b.split_name = 'train')),
-both_ as (select sample_id_a, sample_id_b, coalesce(sum(case when y.k is null then 0 else least(x.k, y.k) end), 0) as shared from c left join qt x on x.sample_id = sample_id_a left join qt y on y.sample_id = sample_id_b and y.w = x.w group by sample_id_a, sample_id_b)
-select sample_id_a, sample_id_b from c join both_ using (sample_id_a, sample_id_b) where len(wa) - shared <= 2 and len(wb) - shared <= 2
-and list_sort(list_distinct(list_filter(wa, lambda w: regexp_matches(w, '[_/.0-9]')))) = list_sort(list_distinct(list_filter(wb, lambda w: regexp_matches(w, '[_/.0-9]'))))""",
+        "p6_found": f"with {_PAIRS}, {_QUERY}, {_CROSS} select sample_id_a, sample_id_b from fnd",
+        "p6_texts": f"""with {_PAIRS}, {_QUERY}, e as (select min(sample_id) as id from big join q using (sample_id) where split_name <> 'train' group by list_sort(big.ws)), t as (select min(sample_id) as id from big join q using (sample_id) where split_name = 'train' group by list_sort(big.ws))
+select e.id as eval_id, t.id as train_id, round(shared, 4) as shared from near join e on e.id in (sample_id_a, sample_id_b) join t on t.id in (sample_id_a, sample_id_b)""",
+        "p6_report": f"""with {_PAIRS}, {_QUERY}, {_CROSS}, best as (select eval_id as sample_id, max(shared) as shared from c group by eval_id), asked as (select eval_id as sample_id, count(*) as pairs from fnd group by eval_id)
+select split_name, source, count(*) as rows, count(shared) as overlapping, count(pairs) as same_query, coalesce(sum(pairs), 0)::bigint as pairs, round(avg(shared), 4) as mean_shared
+from canonical_rows left join best using (sample_id) left join asked using (sample_id) where split_name <> 'train' group by split_name, source""",
         "p8_pairs": f"with {_LEAK}, {_TILED} select doc_id, item_id, item_words, covered, longest from pairs",
         "p8_items": f"""with {_LEAK}, {_TILED} select item_id, count(distinct case when covered >= 0.5 * item_words then doc_id end) as documents, count(distinct case when covered < 0.5 * item_words then doc_id end) as partial,
 round(max(covered / item_words), 4) as best_cover, max(longest) as longest_tile from pairs group by item_id""",

@@ -77,26 +77,40 @@ def brute_overlaps(rows):
 
 
 def pairs_of(df):
-    return {tuple(sorted((r.eval_id, r.train_id))) for r in df.collect()}
+    members, pairs = overlap.near_texts(df)
+    rows = overlap.same_queries(members, pairs, df).collect()
+    got = {tuple(sorted((r.eval_id, r.train_id))) for r in rows}
+    assert len(got) == len(rows)
+    return got
 
 
 def test_overlaps_equal_brute_force(spark, sf):
     df = table(spark, sf, "canonical_rows")
-    want = brute_overlaps(df.select("sample_id", "tool_output", "query", "split_name").collect())
-    got = overlap.overlaps(df)
-    assert pairs_of(got) == want and got.count() == len(want)
+    assert pairs_of(df) == brute_overlaps(df.select("sample_id", "tool_output", "query", "split_name").collect())
 
 
 def test_overlaps_of_hostile_rows(spark, monkeypatch):
     df, _ = hostile(spark)
     want = brute_overlaps(df.collect())
-    assert want and pairs_of(overlap.overlaps(df)) == want
-    monkeypatch.setattr(overlap, "EVAL_CHARS", 60_000)  # one key cut into a grid
-    monkeypatch.setattr(overlap, "TRAIN_CHARS", 60_000)
-    got = overlap.overlaps(df)
-    assert pairs_of(got) == want and got.count() == len(want)
-    assert overlap.overlaps(df.limit(0)).count() == 0
-    assert overlap.report(got, df).where("split_name = 'test'").first().overlapping > 0
+    assert want and pairs_of(df) == want
+    for name, value in (("EVAL_WORDS", 30), ("TRAIN_WORDS", 30), ("BLOCK", 1)):  # grids of buckets and of shards
+        monkeypatch.setattr(overlap, name, value)
+    assert pairs_of(df) == want
+    assert pairs_of(df.unionByName(df)) == want and pairs_of(df.limit(0)) == set()
+    members, pairs = overlap.near_texts(df)
+    out = overlap.report(members, pairs, overlap.same_queries(members, pairs, df), df).where("split_name = 'test'").first()
+    assert out.overlapping >= out.same_query > 0
+
+
+def test_overlaps_are_found_under_other_queries(spark):
+    base = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, base, "find a/b", "train", "swe"), (2, base + " x", "count the c_d", "test", "swe"), (3, base.upper(), None, "dev", "swe"), (4, base, "find a/b", None, "swe")], "sample_id long, tool_output string, query string, split_name string, source string")
+    members, pairs = overlap.near_texts(df)
+    assert {(r.eval_id, r.train_id): (round(r.cover, 3), round(r.shared, 3)) for r in pairs.collect()} == {(2, 1): (round(40 / 41, 3), round(40 / 41, 3)), (3, 1): (1.0, 1.0)}
+    found = overlap.same_queries(members, pairs, df)
+    assert found.count() == 0
+    got = {r.split_name: (r.rows, r.overlapping, r.same_query, r.pairs) for r in overlap.report(members, pairs, found, df).collect()}
+    assert got == {"test": (1, 1, 0, 0), "dev": (1, 1, 0, 0)}
 
 
 def test_reordered_and_edited_passages_are_covered():
