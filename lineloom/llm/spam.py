@@ -1,20 +1,20 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Every document gets content and link features. Weak labels come from rules that are sure of a part of the pages: those
-whose text is mostly repeated phrases, links, tags or product entries with next to no sentences, and those that are
-mostly sentences, code, logs or lists of another make. Bagged decision trees are trained on a bounded sample of weakly
-labelled documents (``SAMPLE_DOCS``, hashed by id), with random subsets of rows and of features at every split, and
-score all documents. A page's score is then smoothed with the spam rate of the hosts it names: the mean score of the
-other pages that name the host, weighted against the overall rate by ``HOST_WEIGHT`` pages.
-
-Null, empty and white-space texts are never spam. Repeated rows have equal features and scores.
+Every document gets content and link features. Weak labels come from a few seeds, rules with extreme thresholds that are
+sure of a small part of the pages of either kind and leave the rest open. Bagged decision trees are trained on a
+bounded sample of documents (``SAMPLE_DOCS``, hashed by id) that the seeds label, with random subsets of rows and of
+features at every split; what they are then sure of among the open documents of the sample joins the labels of another
+training (``SURE``, ``ROUNDS``). The last trees score all documents; the seeds decide nothing. A page's score is then smoothed with the
+spam rate of the hosts it names: the mean score of the other pages that name a host, drawn to the overall rate by
+``HOST_WEIGHT`` pages, moves the page's log-odds by ``HOST_PULL`` of its own distance from the overall log-odds.
+
+Null, empty and white-space texts are never spam. Repeated rows have equal features and page scores.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,128 +29,133 @@ SAMPLE_DOCS = 10_000
 TREES = 25
 DEPTH = 7
 LEAST_LEAF = 5
-HOST_WEIGHT = 20.0
-#: Most a host's rate may move a score.
-HOST_PULL = 0.15
-THRESHOLD = 0.5
-#: Sources that programs write; without a spam rule against it, a text of theirs is weakly labelled as no spam.
-MACHINE = ("tool_log", "code_file", "commit_msg", "changelog")
-
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|io|example|test|invalid)\b(?:/[^\s<>()\[\]\"',]*)?", re.I)
+HOST_WEIGHT, HOST_PULL = 5.0, 0.5
+#: Spam is a small part, and the seeds know less of it than of the rest, so scores are low.
+THRESHOLD = 0.25
+#: Scores below and above which trees label what the seeds left open, and how often new trees are trained on that.
+SURE, ROUNDS = (0.08, 0.85), 2
+
+_URL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+", re.I)
+_SITE = re.compile(r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|io|example|test|invalid)\b(?:/[^\s<>()\[\]\"',]*)?")
 _HOST = re.compile(r"^(?:https?://)?(?:www\.)?([^/\s:?#]+)", re.I)
-#: What a text with any link has.
-_LINKS = ("://", "www.", ".com", ".net", ".org", ".info", ".biz", ".io", ".example", ".test", ".invalid")
+#: Ends of site names.
+_ENDINGS = (".com", ".net", ".org", ".info", ".biz", ".io", ".example", ".test", ".invalid")
 _TAG = re.compile(r"(?<!\w)#[A-Za-z][\w-]*")
 _WORD = re.compile(r"[^\W_]+")
 _MONEY = re.compile(rb"9[.,]99(?![9.,])")
-_CUTS = (" - ", "|", "/", ",", ";", ".", "?", "!")
-_WIDE_CUTS = (" – ", "·", "•", "»")
-_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Signs that end a segment, wherever they stand.
+_CUTS = bytes(10 if chr(c) in "|/,;.?!" else c for c in range(256))
+_WIDE_CUTS = dict.fromkeys(map(ord, "|/,;.?!·•»"), "\n")
+_BLANKS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _KINDS = bytes(ord("a" if chr(c).islower() else "A" if chr(c).isupper() else "9" if chr(c).isdigit() or c == 64 else chr(c)) if c < 128 else 63 for c in range(256))
 _ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 _PLAIN = str.maketrans("013457@", "oleasta")
 _ENDS = (".", "?", "!", "。", '."', ".'", ".)", '?"', ".\"\"\"")
-#: Words that lure a visitor.
-LURES = frozenset("buy cheap best free download online offer offers sale sales deal deals discount shop order price prices now here get looking click visit win bonus top hot new".split())
 _SIGNS = "_(){}[]=;:/|#,.<>\"'`*-"
+_SIGN_CODES = np.frombuffer(_SIGNS.encode(), np.uint8)
 
 FEATURES = [
-    "chars", "lines", "words", "words_line", "unique", "top1", "top2", "bigram_rep", "trigram_rep", "zip", "urls_word", "url_chars", "hosts_line", "url_lines", "explained", "tags_word", "tag_chars", "prices", "times",
-    "sentence_lines", "sentence_chars", "long_sentences", "stem_rep", "segment_rep", "segment_words", "line_rep", "shape_rep", "shape_top", "start_top", "end_top", "indent", "caps", "leet", "leet_rep", "word_len", "digits", "not_ascii", "wide_stops", "lures", "asks", "inner_rep",
+    "chars", "lines", "words", "words_line", "unique", "bigram_rep", "url_chars", "hosts_line", "url_lines", "explained", "tag_chars", "prices", "times", "sentence_lines", "sentence_chars", "long_sentences", "stem_rep",
+    "segment_rep", "segment_words", "line_rep", "shape_top", "count_ends", "caps", "leet", "leet_rep", "word_len", "digits", "not_ascii", "wide_stops", "asks", "inner_rep",
     *(f"sign_{c}" for c in _SIGNS),
 ]
 
 
-def _rep(grams: list) -> float:
-    return 1 - len(set(grams)) / len(grams) if grams else 0.0
+def _rep(items: list) -> float:
+    return 1 - len(set(items)) / len(items) if items else 0.0
 
 
-def features(text: str) -> list[float]:
-    """The features of one text, in the order of ``FEATURES``; shares are of words, lines or characters."""
+def _explained(line: str) -> bool:
+    """Whether a line with a link has a sentence beside it."""
+    rest = _URL.sub(" ", line).rstrip()
+    return rest.count(" ") >= 6 and (rest.endswith(_ENDS) or ". " in rest)
+
+
+def features(text: str) -> tuple[list[float], list[str]]:
+    """(the features of one text, in the order of ``FEATURES``, hosts it names); shares are of words, lines or characters."""
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     n_chars, n_lines = max(1, len(text)), max(1, len(lines))
     low = text.lower()
     ascii_ = text.isascii()
-    links = any(t in low for t in _LINKS)
-    urls = _URL.findall(text) if links else []
+    urls = _URL.findall(low) if "://" in low or "www." in low else []
     bare = _URL.sub(" ", low) if urls else low
+    if any(e in bare for e in _ENDINGS) and (sites := _SITE.findall(bare)):
+        urls, bare = urls + sites, _SITE.sub(" ", bare)
     tags = _TAG.findall(bare) if "#" in bare else []
-    words = bare.translate(_BLANKS).split() if ascii_ else _WORD.findall(bare)
+    cut = bare.replace(". ", "\n").replace("? ", "\n").replace("! ", "\n")
+    if ascii_:
+        flat = bare.encode().translate(_BLANKS)
+        words, letters = flat.split(), len(flat) - flat.count(b" ")
+        parts = [x.strip() for x in cut.replace(" - ", "\n").encode().translate(_CUTS).split(b"\n")]
+    else:
+        cut = cut.replace("。", "\n")
+        words = _WORD.findall(bare)
+        letters = sum(map(len, words))
+        parts = [x.strip() for x in cut.replace(" - ", "\n").replace(" – ", "\n").translate(_WIDE_CUTS).split("\n")]
+    segments = [x for x in parts if x]
     n = max(1, len(words))
-    count = Counter(words)
-    top = [*sorted(count.values(), reverse=True)[:2], 0, 0]
-    hosts = {m.group(1).lower() for u in urls if (m := _HOST.match(u))}
-    url_lines = explained = sentence_lines = sentence_chars = indent = 0
-    shapes, starts, ends = Counter(), Counter(), Counter()
-    kinds = text.encode("ascii", "replace").translate(_KINDS)
+    hosts = sorted({m.group(1) for u in urls if (m := _HOST.match(u))})
+    raw = text.encode("ascii", "replace")
+    kinds = raw.translate(_KINDS)
+    url_lines = explained = sentence_lines = sentence_chars = counted = 0
     for line in lines:
         tail = line.rstrip()
-        blanks = line.count(" ")
-        indent += line[0] in " \t"
-        good = (blanks >= 4 and tail.endswith(_ENDS)) or (not ascii_ and tail[-1] == "。")
-        if urls and ("://" in line or _URL.search(line)):
+        good = (tail.endswith(_ENDS) and tail.count(" ") >= 4) or (not ascii_ and tail[-1] == "。")
+        if urls and ("://" in line or _URL.search(line) or _SITE.search(line.lower())):
             url_lines += 1
-            rest = _URL.sub(" ", line).rstrip()
-            good = rest.count(" ") >= 6 and rest.endswith(_ENDS)
+            good = _explained(line)
             explained += good
         if good:
             sentence_lines += 1
             sentence_chars += len(line)
-        shapes[tail.encode("ascii", "replace").translate(None, _ALNUM)] += 1
-        starts[tail.split(None, 1)[0]] += 1
-        ends[tail.rsplit(None, 1)[-1]] += 1
-    cut = bare.replace("。", "\n") if not ascii_ else bare
-    for end in (". ", "? ", "! ", ".\n"):
-        cut = cut.replace(end, "\n")
+        elif tail[-1].isdigit():
+            counted += tail.rsplit(None, 1)[-1].isdigit()
+    shapes = Counter(kinds.translate(None, b"aA9 ").split(b"\n"))
+    shapes.pop(b"", 0)
     sentences = [s for s in cut.split("\n") if s and not s.isspace()]
-    for sign in _CUTS if ascii_ else _CUTS + _WIDE_CUTS:
-        cut = cut.replace(sign, "\n")
-    segments = [x for s in cut.split("\n") if (x := s.strip())]
     inner = [1 - len(set(w)) / len(w) for s in sentences if len(w := s.split()) > 2]
     stems = [" ".join(s.split(None, 2)[:2]) for s in sentences]
     plain = kinds.replace(b"A", b"a")
     mixed = plain.count(b"a9a")
-    pair_rep = _rep(list(zip(words, words[1:])))
+    pair_rep = leet_rep = _rep(list(zip(words, words[1:])))
     if mixed > 0.03 * n:
         w = bare.translate(_PLAIN).split()
         leet_rep = _rep(list(zip(w, w[1:])))
-    else:
-        leet_rep = pair_rep
-    raw = text.encode("utf-8", "surrogatepass")
-    return [
-        math.log1p(n_chars), math.log1p(n_lines), math.log1p(n), n / n_lines, len(count) / n, top[0] / n, (top[0] + top[1]) / n, pair_rep, _rep(list(zip(words, words[1:], words[2:]))), len(zlib.compress(raw, 1)) / max(1, len(raw)), len(urls) / n, sum(map(len, urls)) / n_chars, len(hosts) / n_lines, url_lines / n_lines, explained / max(1, url_lines), len(tags) / n, sum(map(len, tags)) / n_chars, (len(_MONEY.findall(plain)) + low.count("sku ") + text.count("$")) / n_lines, (plain.count(b"99:99") + plain.count(b"9999-99-99")) / n_lines,
-        sentence_lines / n_lines, sentence_chars / n_chars, sum(s.count(" ") >= 6 for s in sentences) / max(1, len(sentences)), _rep(stems), _rep(segments), n / max(1, len(segments)), 1 - len(set(lines)) / n_lines, 1 - len(shapes) / n_lines, max(shapes.values(), default=0) / n_lines, max(starts.values(), default=0) / n_lines, max(ends.values(), default=0) / n_lines, indent / n_lines, (kinds.count(b"aA") + kinds.count(b"9A")) / n, mixed / n, leet_rep, sum(map(len, words)) / n, sum(map(text.count, "0123456789")) / n_chars, 0.0 if ascii_ else 1 - len(text.encode("ascii", "ignore")) / n_chars, text.count("。") / n_lines, sum(count[w] for w in LURES if w in count) / n, (text.count("?") + text.count("!")) / max(1, len(sentences)), sum(inner) / max(1, len(inner)),
-        *(text.count(c) / n_chars for c in _SIGNS),
+    signs = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
+    x = [
+        math.log1p(n_chars), math.log1p(n_lines), math.log1p(n), n / n_lines, len(set(words)) / n, pair_rep, sum(map(len, urls)) / n_chars, len(hosts) / n_lines, url_lines / n_lines, explained / max(1, url_lines), sum(map(len, tags)) / n_chars,
+        (len(_MONEY.findall(plain)) + low.count("sku ") + int(signs[36])) / n_lines, (plain.count(b"99:99") + plain.count(b"9999-99-99")) / n_lines, sentence_lines / n_lines, sentence_chars / n_chars, sum(s.count(" ") >= 6 for s in sentences) / max(1, len(sentences)), _rep(stems),
+        _rep(segments), n / max(1, len(segments)), 1 - len(set(lines)) / n_lines, max(shapes.values(), default=0) / n_lines, counted / n_lines, (kinds.count(b"aA") + kinds.count(b"9A")) / n, mixed / n, leet_rep, letters / n, int(signs[48:58].sum()) / n_chars, 0.0 if ascii_ else 1 - len(text.encode("ascii", "ignore")) / n_chars, text.count("。") / n_lines,
+        (text.count("?") + text.count("!")) / max(1, len(sentences)), sum(inner) / max(1, len(inner)),
+        *(signs[_SIGN_CODES] / n_chars).tolist(),
     ]
+    return x, hosts
 
 
-def weak_label(x: np.ndarray, machine: np.ndarray | None = None) -> np.ndarray:
-    """1 surely spam, 0 surely not, -1 open; x: (documents, features); machine: of a source that no person writes."""
+def seeds(x: np.ndarray) -> np.ndarray:
+    """1 surely spam, 0 surely not, -1 open; x: (documents, features). Rules of extreme values only."""
     c = {name: x[:, i] for i, name in enumerate(FEATURES)}
-    few = c["sentence_chars"] < 0.3
-    code = c["sign_("] + c["sign_="] + c["sign_{"] + c["sign_:"]
-    enough = c["words"] > math.log1p(15)
-    spam = few & enough & (
-        ((c["segment_rep"] > 0.6) & (c["bigram_rep"] > 0.4) & (code < 0.01) & (c["times"] == 0))
-        | ((c["url_lines"] > 0.6) & (c["url_chars"] > 0.35) & (c["explained"] < 0.1))
-        | (c["tag_chars"] > 0.5)
-        | ((c["prices"] > 0.7) & (c["shape_top"] > 0.3) & (c["sign_|"] > 0.02) & (code < 0.02))
-        | ((np.maximum(c["leet_rep"], c["bigram_rep"]) > 0.4) & (c["caps"] > 0.4) & (code < 0.01))
-        | ((c["bigram_rep"] > 0.6) & (c["unique"] < 0.2) & (code < 0.01) & (c["digits"] < 0.05))
+    code = c["sign_("] + c["sign_="] + c["sign_{"]
+    calm = (c["words"] > math.log1p(15)) & (c["times"] == 0) & (c["count_ends"] < 0.2) & (code < 0.02)
+    spam = calm & (
+        ((c["bigram_rep"] > 0.75) & (c["segment_rep"] > 0.7) & (c["sentence_chars"] < 0.1))
+        | ((c["unique"] < 0.14) & (c["stem_rep"] > 0.5) & (c["bigram_rep"] > 0.6))
+        | ((c["caps"] > 1.1) & (c["leet_rep"] > 0.65) & (c["sentence_chars"] < 0.1))
+        | ((c["url_lines"] > 0.95) & (c["url_chars"] > 0.6) & (c["explained"] == 0))
+        | (c["tag_chars"] > 0.8)
+        | ((c["prices"] > 0.9) & (c["shape_top"] > 0.9))
+    )
+    dry = (c["url_chars"] < 0.1) & (c["tag_chars"] < 0.1) & (c["prices"] < 0.2)
+    ham = dry & (
+        ((c["sentence_chars"] > 0.9) & (c["bigram_rep"] < 0.02))
+        | ((c["sentence_chars"] > 0.8) & (c["inner_rep"] < 0.06) & (c["long_sentences"] > 0.5) & (c["asks"] < 0.1) & (c["bigram_rep"] > 0.15))
+        | ((code > 0.06) & (c["bigram_rep"] < 0.3))
+        | ((c["digits"] > 0.12) & (c["bigram_rep"] < 0.25) & (c["words"] > math.log1p(15)))
+        | (c["count_ends"] > 0.6)
     )
-    spam |= enough & (c["trigram_rep"] > 0.5) & (c["unique"] < 0.15) & (c["top2"] > 0.2) & (c["stem_rep"] > 0.5) & (c["times"] == 0) & (code < 0.01)
-    spam |= enough & (c["bigram_rep"] > 0.45) & (c["unique"] < 0.3) & (c["lures"] > 0.15) & (c["asks"] > 0.2) & (c["times"] == 0) & (code < 0.01)
-    spam |= few & (c["url_chars"] > 0.6) & (c["explained"] < 0.1) & (c["chars"] > math.log1p(200))
-    ham = (c["sentence_chars"] > 0.6) & (c["trigram_rep"] < 0.35) & (c["url_chars"] < 0.2) & (c["lures"] < 0.1)
-    ham |= (c["sentence_chars"] > 0.6) & (c["long_sentences"] > 0.35) & (c["lures"] < 0.04) & (c["url_chars"] < 0.2)
-    ham |= (c["explained"] > 0.6) & (c["sentence_chars"] > 0.5)
-    ham |= (code > 0.025) & (c["url_chars"] < 0.1) & (c["prices"] < 0.5)
-    ham |= (c["times"] > 0.5) & (c["url_chars"] < 0.1)
-    ham |= (c["words"] < math.log1p(6)) & (c["url_lines"] == 0)
-    names = c["sign_/"] + c["sign_."] + c["sign__"] + c["sign_="]
-    ham |= (names > 0.05) & (c["url_chars"] < 0.1) & (c["bigram_rep"] < 0.3) & (c["sign_|"] < 0.01) & (c["tag_chars"] < 0.2)
-    if machine is not None:
-        ham |= machine & ~spam
+    ham |= dry & (c["sign__"] > 0.015) & (c["bigram_rep"] < 0.25) & (c["unique"] > 0.5) & (c["sentence_chars"] < 0.5)
+    ham |= (c["explained"] > 0.8) & (c["sentence_chars"] > 0.6)
+    ham |= (c["words"] < math.log1p(8)) & (c["url_chars"] == 0)
     return np.where(spam & ~ham, 1, np.where(ham & ~spam, 0, -1))
 
 
@@ -220,13 +225,11 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator,
     return tree
 
 
-def train(x: np.ndarray, machine: np.ndarray | None = None, seed: int = 5) -> list[Tree]:
-    """Bagged trees on the weakly labelled rows of ``x``; no trees if one class has no row."""
-    y = weak_label(x, machine)
+def fit(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[Tree]:
+    """Bagged trees on the rows of ``x`` with a label (``y`` of 0 or 1, -1 for none); none if a class has no row."""
     x, y = x[y >= 0], y[y >= 0].astype(float)
     if not len(y) or y.min() == y.max():
         return []
-    rng = np.random.default_rng(seed)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     balance = np.where(y == 1, np.minimum(balance, 8 * balance.min()), balance)
     trees = []
@@ -236,41 +239,54 @@ def train(x: np.ndarray, machine: np.ndarray | None = None, seed: int = 5) -> li
     return trees
 
 
+def vote(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    return np.mean([t.predict(x) for t in trees], axis=0) if trees else np.zeros(len(x))
+
+
+def page(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Scores of pages; 0 for texts without words."""
+    return np.where(x[:, FEATURES.index("unique")] > 0, vote(trees, x), 0.0)
+
+
+def train(x: np.ndarray, seed: int = 5) -> list[Tree]:
+    """Trees on what the seeds label, and on what those trees are sure of; no trees if the seeds lack a class."""
+    rng = np.random.default_rng(seed)
+    y = seeds(x)
+    trees = fit(x, y, rng)
+    for _ in range(ROUNDS if trees else 0):
+        p = vote(trees, x)
+        trees = fit(x, np.where(y >= 0, y, np.where(p > SURE[1], 1, np.where(p < SURE[0], 0, -1))), rng)
+    return trees
+
+
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows, hosts = [], []
-        for text in pdf.text:
-            rows.append(np.array(features(text), np.float32))
-            low = text.lower()
-            named = {m.group(1).lower() for u in _URL.findall(text) if (m := _HOST.match(u))} if any(t in low for t in _LINKS) else set()
-            hosts.append(sorted(named))
-        yield pd.DataFrame({"id": pdf.id, "machine": pdf.machine, "x": rows, "hosts": hosts})
+        rows = [features(text) for text in pdf.text]
+        yield pd.DataFrame({"id": pdf.id, "x": [np.array(x, np.float32) for x, _ in rows], "hosts": [h for _, h in rows]})
 
 
-def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, page (the trees' score), host_rate (null without another page of a named host), score, is_spam."""
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).isin(*MACHINE), F.lit(False)).alias("machine")).where("text is not null")
-    feat = stable(rows.mapInPandas(_featured, f"id {kind}, machine boolean, x array<float>, hosts array<string>"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    feat = stable(rows.mapInPandas(_featured, f"id {kind}, x array<float>, hosts array<string>"))
     total = max(feat.count(), 1)
     part = feat.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / total) * (1 << 30)))
-    sample = part.select("x", "machine").toArrow().combine_chunks()
-    trees = []
-    if sample.num_rows:
-        x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, len(FEATURES))
-        trees = train(x, sample.column("machine").to_numpy().astype(bool))
+    sample = part.select("x").toArrow().combine_chunks()
+    trees = train(sample.column("x").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, len(FEATURES))) if sample.num_rows else []
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf.x.to_list())
-                if trees:
-                    s = np.mean([t.predict(x) for t in trees], axis=0)
-                else:
-                    s = (weak_label(x) == 1).astype(float)
-                yield pd.DataFrame({"id": pdf.id, "page": s, "hosts": pdf.hosts})
+                yield pd.DataFrame({"id": pdf.id, "page": page(trees, np.stack(pdf.x.to_list())), "hosts": pdf.hosts})
 
     pages = stable(feat.mapInPandas(score, f"id {kind}, page double, hosts array<string>"))
+    return smoothed(pages).withColumnRenamed("id", id_col)
+
+
+def smoothed(pages: DataFrame) -> DataFrame:
+    """id, page, host_rate, score, is_spam of pages (id, page, hosts)."""
+    odds = lambda p: F.log(F.greatest(F.lit(0.01), F.least(F.lit(0.99), p)) / (1 - F.greatest(F.lit(0.01), F.least(F.lit(0.99), p))))
     base = pages.agg(F.avg("page")).first()[0] or 0.0
     named = pages.select("id", "page", F.explode("hosts").alias("host")).withColumn("host", F.xxhash64("host"))
     shared = named.groupBy("host").agg(F.sum("page").alias("all"), F.count("*").alias("n")).where("n > 1")
@@ -280,6 +296,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         .groupBy("id")
         .agg(F.avg("rate").alias("host_rate"))
     )
-    pull = HOST_PULL * F.coalesce((F.col("host_rate") - base) / F.greatest(F.lit(1e-6), F.when(F.col("host_rate") > base, F.lit(1.0 - base)).otherwise(F.lit(base or 1.0))), F.lit(0.0))
-    out = pages.select("id", "page").join(rate, "id", "left").withColumn("score", F.col("page") + pull)
-    return out.select(F.col("id").alias(id_col), "page", "host_rate", "score", (F.col("score") > THRESHOLD).alias("is_spam"))
+    out = pages.select("id", "page").join(rate, "id", "left")
+    moved = 1 / (1 + F.exp(-(odds(F.col("page")) + HOST_PULL * (odds(F.col("host_rate")) - odds(F.lit(base))))))
+    out = out.withColumn("score", F.when(F.col("host_rate").isNull(), F.col("page")).otherwise(moved))
+    return out.withColumn("is_spam", F.col("score") > THRESHOLD)

@@ -178,11 +178,23 @@ def test_spam_held_out_accuracy():
         return " ".join(f"#{rng.choice(nouns)}_{rng.choice(nouns)}" for _ in range(40))
     texts = [f() for _ in range(60) for f in (prose, code, stuffed, links, tags)]
     y = np.array([0, 0, 1, 1, 1] * 60)
-    x = np.array([spam.features(t) for t in texts], np.float32)
+    x = np.array([spam.features(t)[0] for t in texts], np.float32)
     trees = spam.train(x[:200])
-    s = np.mean([t.predict(x[200:]) for t in trees], axis=0)
-    assert ((s > 0.5) == y[200:]).mean() >= 0.98
-    assert len(spam.features("")) == len(spam.FEATURES)
+    assert ((spam.page(trees, x[200:]) > spam.THRESHOLD) == y[200:]).mean() >= 0.98
+    assert len(spam.features("")[0]) == len(spam.FEATURES) and spam.page(trees, np.array([spam.features("")[0]])) == [0]
+
+
+def test_features_name_hosts_and_explained_links():
+    x, hosts = spam.features("See https://a.example/x?q=1 and b.test for more words. It explains all that.\nwww.c.invalid\nplain")
+    f = dict(zip(spam.FEATURES, x))
+    assert hosts == ["a.example", "b.test", "c.invalid"] and f["url_lines"] == 2 / 3 and f["explained"] == 0.5
+
+
+def test_hosts_move_verdicts(spark):
+    rows = [(i, 0.9, ["bad.example"]) for i in range(40)] + [(i, 0.02, ["good.example"]) for i in range(40, 300)] + [(300, 0.2, ["bad.example"]), (301, 0.3, ["good.example"]), (302, 0.2, ["own.example"]), (303, 0.3, [])]
+    got = {r.id: r for r in spam.smoothed(spark.createDataFrame(rows, "id long, page double, hosts array<string>")).collect()}
+    assert [got[i].is_spam for i in (300, 301, 302, 303)] == [True, False, False, True]
+    assert got[302].host_rate is None and got[303].score == 0.3 and len(got) == len(rows)
 
 
 def test_spam_of_hostile_rows(spark):
