@@ -71,14 +71,41 @@ def repo_of(instance_id: Column) -> Column:
 
 
 def issue_url(instance_id: Column, repo: Column) -> Column:
-    """Address of the issue that an id ends in, null if it doesn't end in a number."""
+    """Address of the issue that an id ends in; the open list of issues if it doesn't end in a number."""
     n = F.regexp_extract(instance_id, r"-(\d+)$", 1)
-    return F.when(n != "", F.concat(F.lit("https://github.com/"), repo, F.lit("/issues/"), n))
+    base = F.concat(F.lit("https://api.github.com/repos/"), repo, F.lit("/issues"))
+    return F.when(n != "", F.concat(base, F.lit("/"), n)).otherwise(F.concat(base, F.lit("?per_page=5&state=all")))
 
 
 def urls(text: Column) -> Column:
-    """Links in a text, without the punctuation after them."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"']+"), 0), lambda u: F.regexp_replace(u, r"[.,;)]+$", ""))
+    """Links in a text, without the punctuation after them; quotes, backticks and angle brackets end a link."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s\"`'<>]+"), 0), lambda u: F.regexp_replace(u, r"[.,;)]+$", ""))
+
+
+#: Repositories whose package has another name.
+IMPORT_NAMES = {"scikit-learn": "sklearn", "scikit-image": "skimage", "pillow": "PIL", "pyyaml": "yaml", "python-dateutil": "dateutil", "beautifulsoup4": "bs4"}
+
+
+def import_name(repo: Column) -> Column:
+    """The package a repository is imported as."""
+    name = F.when(repo.contains("/"), F.get(F.split(repo, "/"), F.lit(1))).otherwise(repo)
+    known = F.create_map(*(F.lit(x) for pair in IMPORT_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.replace(name, F.lit("-"), F.lit("_")))
+
+
+def line_numbers(reply: Column) -> Column:
+    """Line numbers in a reply: a list under one of three keys of a JSON object, a bare JSON list, else the first
+    bracketed list of digits; null if there is none. Fractions are cut off, items that are no numbers left out."""
+    s = strip(reply)
+    parsed = F.try_parse_json(s)
+    kind = F.schema_of_variant(parsed)
+    number = lambda v: F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(~F.schema_of_variant(v).isin("STRING", "VOID"), F.try_variant_get(v, "$", "double"))
+    whole = lambda xs: F.filter(F.transform(xs, number), lambda x: x.isNotNull())
+    listed = [F.try_variant_get(parsed, f"$.{k}", "array<variant>") for k in ("lines", "line_numbers", "relevant_lines")]
+    bare = F.try_variant_get(parsed, "$", "array<variant>")
+    found = F.when(kind.startswith("OBJECT"), F.coalesce(*listed)).when(kind.startswith("ARRAY"), bare)
+    digits = F.from_json(F.nullif(F.regexp_extract(reply, r"(\[[\d,\s]+\])", 1), F.lit("")), "array<int>")
+    return F.coalesce(F.transform(whole(found), lambda x: x.cast("int")), F.when(F.size(digits) > 0, digits))
 
 
 def basename(path: Column) -> Column:

@@ -7,11 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..runtime import ranked
+from ..runtime import ranked, stable
 from . import spans as S
 
 #: Fixed value: the instruction of prompts.
-SYSTEM = "You prune verbose tool output for a coding agent. Given a focused extraction query and one tool output, return only the smallest verbatim evidence block(s) the agent should read next."
+SYSTEM = "You prune verbose tool output for a coding agent. Given a focused extraction query and one tool output, return only the smallest verbatim evidence block(s) the agent should read next. Return the kept text inside <relevant_lines> tags. Do not rewrite, summarize, or invent lines."
+#: Repositories whose rows are held out.
+HELD_OUT = {"test": ("pydata__xarray", "pallets__flask"), "dev": ("psf__requests",)}
+EOS = "<|im_end|>"
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -46,14 +49,56 @@ def parse_prompt(text: Column) -> dict[str, Column]:
 
 
 def parse_lines(reply: Column) -> Column:
-    """Relevant lines of a reply: the list of a JSON object ([] without one), else the content of the tag, else the
-    reply; then its stripped lines that are not blank."""
+    """Relevant lines of a reply, stripped, without blank ones.
+
+    They are the list of a JSON object ([] if it has none), else the content of the tag, else the reply itself; a JSON
+    reply that is no object, or whose value is no list, is taken as plain text. Values that are no strings are written out.
+    """
     s = X.strip(reply)
-    obj = F.when(s.startswith("{"), F.from_json(s, "relevant_lines array<string>"))
-    is_object = F.when(s.startswith("{"), F.try_parse_json(s).isNotNull()).otherwise(False)
+    parsed = F.try_parse_json(s)
+    value = F.try_variant_get(parsed, "$.relevant_lines", "string")
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    listed = F.try_variant_get(parsed, "$.relevant_lines", "array<variant>")
+    no_list = F.coalesce(listed.isNull() & (value.isNotNull() | F.coalesce(F.schema_of_variant(parsed).contains("relevant_lines"), F.lit(False))), F.lit(False))
+    items = F.transform(F.coalesce(listed, F.array().cast("array<variant>")), lambda v: X.strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None"))))
     body = F.when(s.rlike(r"(?s)<relevant_lines>.*</relevant_lines>"), X.strip(X.tag(s, "relevant_lines"))).otherwise(s)
-    plain = F.filter(F.transform(X.lines(body), X.strip), lambda x: x != "")
-    return F.when(is_object, F.coalesce(obj["relevant_lines"], F.array().cast("array<string>"))).otherwise(plain)
+    filled = lambda xs: F.filter(xs, lambda x: x != "")
+    return F.when(is_object & ~no_list, filled(items)).otherwise(filled(F.transform(X.lines(body), X.strip)))
+
+
+def convert(df: DataFrame) -> DataFrame:
+    """prompt, response and tool_type of chat rows -> task, tool_output, relevant_lines, tool_type of encoder rows.
+
+    Sections are stripped; rows without a task or an output go. Of the response's lines blank ones and omission notes go.
+    """
+    def section(name: str) -> Column:
+        return X.strip(X.tag(F.col("prompt"), name))
+
+    has = F.col("prompt").rlike(r"(?s)<query>.*?</query>")
+    body = X.strip(X.tag(F.col("response"), "relevant_lines"))
+    note = r"^\.\.\.\s*\(\d+\s+lines?\s+omitted\)\s*$"
+    lines = F.filter(X.lines(body), lambda x: (X.strip(x) != "") & ~X.strip(x).rlike(note))
+    rows = df.withColumns({"task": F.when(has, section("query")).otherwise(section("task")), "tool_output": section("tool_output"), "relevant_lines": lines})
+    keep = [c for c in df.columns if c not in ("prompt", "response", "tool_type", "task", "tool_output", "relevant_lines")]
+    return rows.where("task <> '' and tool_output <> ''").select(*keep, "task", "tool_output", "relevant_lines", F.coalesce("tool_type", F.lit("unknown")).alias("tool_type"))
+
+
+def training_text(prompt_: Column, response: Column, eos: str = EOS) -> Column:
+    return F.concat(prompt_, response, F.lit(eos))
+
+
+def user_body(prompt_: Column) -> Column:
+    """What stands between the first start of a user turn and the last start of an answer; '' without both."""
+    start, end = "<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"
+    tail = F.substring(prompt_, F.length(F.substring_index(prompt_, start, 1)) + len(start) + 1, F.length(prompt_))
+    inner = F.when(tail.contains(end), F.regexp_extract(tail, r"(?s)^(.*)<\|im_end\|>\n<\|im_start\|>assistant\n", 1)).otherwise(tail)
+    return F.when(prompt_.contains(start) & prompt_.contains(end), inner).otherwise("")
+
+
+def repo_split(instance_id: Column) -> Column:
+    """Split of real rows, by sets of repositories."""
+    repo = X.repo_of(instance_id)
+    return F.when(repo.isin(*HELD_OUT["test"]), "test").when(repo.isin(*HELD_OUT["dev"]), "dev").otherwise("train")
 
 
 def sft(df: DataFrame) -> DataFrame:
@@ -94,6 +139,21 @@ def group_splits(groups: DataFrame, test: float = 0.10, dev: float = 0.05, seed:
     return ranked.select("tool_type", "group_id", F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_dev, "dev").otherwise("train").alias("split_name"))
 
 
+def made_splits(rows: DataFrame) -> DataFrame:
+    """sample_id, split_name of made rows (sample_id, source, tool_type, group_id).
+
+    A positive has the split of its group within its tool type. A negative follows its group: the split of the tool type
+    that came last (by its first row) of those the group is in, and train where no positive is of the group.
+    """
+    made = rows.where("source = 'synthetic'")
+    splits = stable(group_splits(made.select("tool_type", "group_id")))
+    came = made.groupBy("tool_type").agg(F.min("sample_id").alias("came"))  # a row a tool type
+    last = splits.join(F.broadcast(came), "tool_type").groupBy("group_id").agg(F.max_by("split_name", "came").alias("split_name"))
+    first = made.join(splits, ["tool_type", "group_id"]).select("sample_id", "split_name")
+    rest = rows.where("source = 'synthetic_negative'").join(last, "group_id", "left")
+    return first.unionByName(rest.select("sample_id", F.coalesce("split_name", F.lit("train")).alias("split_name")))
+
+
 def negatives(rows: DataFrame, ratio: float = 0.15, seed: int = 42) -> DataFrame:
     """Hard negatives: the query of one row with the output of another of a different tool type.
 

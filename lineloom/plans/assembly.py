@@ -24,7 +24,7 @@ def canonical(spark, sf_dir):
 
 
 @query(f"""with {_REL} select sample_id, instance_id, tool_type, source,
-md5('<|im_start|>system' || chr(10) || '{D.SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<query>' || chr(10) || (case when length(query) > 1000 then left(query, 1000) || '...' else query end) || chr(10) || '</query>' || chr(10)
+md5('<|im_start|>system' || chr(10) || 'You prune verbose tool output for a coding agent. Given a focused extraction query and one tool output, return only the smallest verbatim evidence block(s) the agent should read next. Return the kept text inside <relevant_lines> tags. Do not rewrite, summarize, or invent lines.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<query>' || chr(10) || (case when length(query) > 1000 then left(query, 1000) || '...' else query end) || chr(10) || '</query>' || chr(10)
  || (case when coalesce(background_task, '') <> '' then '<background_task>' || chr(10) || (case when length(background_task) > 3000 then left(background_task, 3000) || '...' else background_task end) || chr(10) || '</background_task>' || chr(10) else '' end)
  || '<tool_output>' || chr(10) || tool_output || chr(10) || '</tool_output><|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) as prompt,
 case when n_rel > 0 then '<relevant_lines>' || chr(10) || body || chr(10) || '</relevant_lines>' else '<relevant_lines>' || chr(10) || '</relevant_lines>' end as response,
@@ -50,10 +50,10 @@ def prompt_parse(spark, sf_dir):
     return got.select("sample_id", p["query"].alias("query"), p["background"].alias("background"), F.md5(p["output"]).alias("output"))
 
 
-@query("select sample_id, 1 + (query <> '')::integer * 0 + 1 as n_messages, md5((case when coalesce(query, '') <> '' then '<query>' || chr(10) || (case when length(query) > 3000 then left(query, 3000) || '...' else query end) || chr(10) || '</query>' || chr(10) else '' end) || '<tool_output>' || chr(10) || tool_output || chr(10) || '</tool_output>') as content from canonical_rows")
+@query("select sample_id, 'system,user' as roles, 'You prune verbose tool output for a coding agent. Given a focused extraction query and one tool output, return only the smallest verbatim evidence block(s) the agent should read next. Return the kept text inside <relevant_lines> tags. Do not rewrite, summarize, or invent lines.' as instruction, md5((case when coalesce(query, '') <> '' then '<query>' || chr(10) || (case when length(query) > 3000 then left(query, 3000) || '...' else query end) || chr(10) || '</query>' || chr(10) else '' end) || '<tool_output>' || chr(10) || tool_output || chr(10) || '</tool_output>') as content from canonical_rows")
 def chat_messages(spark, sf_dir):
     m = D.messages(F.col("query"), F.col("tool_output"))
-    return table(spark, sf_dir, "canonical_rows").select("sample_id", m.alias("m")).select("sample_id", F.size("m").alias("n_messages"), F.md5(F.get("m", F.lit(1))["content"]).alias("content"))
+    return table(spark, sf_dir, "canonical_rows").select("sample_id", m.alias("m")).select("sample_id", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.get("m", F.lit(0))["content"].alias("instruction"), F.md5(F.get("m", F.lit(1))["content"]).alias("content"))
 
 
 @query(f"with {_REL} select sample_id, coalesce(list_aggregate(list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> ''), 'string_agg', chr(10)), '') as parsed from canonical_rows left join rel using (sample_id) where query <> '' and tool_output <> '' and not contains(coalesce(body, ''), 'relevant_lines>')")
@@ -78,22 +78,21 @@ def tag_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("text").contains("<h2>")).select("doc_id", X.tag(F.col("text"), "h2").alias("heading"))
 
 
-@query("select instance_id, case when contains(instance_id, '-') then regexp_extract(instance_id, '(?s)^(.*)-[^-]*$', 1) else instance_id end as repo, case when regexp_matches(instance_id, '-\\d+$') then 'https://github.com/' || repo || '/issues/' || regexp_extract(instance_id, '-(\\d+)$', 1) end as url from instances")
+@query("select instance_id, case when contains(instance_id, '-') then regexp_extract(instance_id, '(?s)^(.*)-[^-]*$', 1) else instance_id end as repo, 'https://api.github.com/repos/' || repo || '/issues' || case when regexp_matches(instance_id, '-\\d+$') then '/' || regexp_extract(instance_id, '-(\\d+)$', 1) else '?per_page=5&state=all' end as url from instances")
 def repo_of(spark, sf_dir):
     i = table(spark, sf_dir, "instances")
     return i.select("instance_id", X.repo_of(F.col("instance_id")).alias("repo"), X.issue_url(F.col("instance_id"), F.col("repo")).alias("url"))
 
 
-@query("""with g as (select distinct tool_type, coalesce(split_group_id, instance_id) as group_id from canonical_rows where source = 'synthetic'),
+@query("""with p as (select *, coalesce(split_group_id, instance_id) as group_id from canonical_rows where source <> 'swe'), g as (select distinct tool_type, group_id from p where source = 'synthetic'),
 r as (select *, row_number() over (partition by tool_type order by md5('42|' || group_id), group_id) as rk, count(*) over (partition by tool_type) as n from g),
 s as (select tool_type, group_id, case when rk <= greatest(1, floor(n * 0.1::double)) then 'test' when rk <= greatest(1, floor(n * 0.1::double)) + greatest(1, floor(n * 0.05::double)) then 'dev' else 'train' end as split_name from r),
-b as (select group_id, min(split_name) as split_name from s group by group_id)
-select c.sample_id, coalesce(b.split_name, 'train') as split_name from canonical_rows c left join b on b.group_id = coalesce(c.split_group_id, c.instance_id) where c.source <> 'swe'""")
+c as (select tool_type, min(sample_id) as came from p where source = 'synthetic' group by tool_type), b as (select group_id, arg_max(split_name, came) as split_name from s join c using (tool_type) group by group_id)
+select sample_id, s.split_name from p join s using (tool_type, group_id) where source = 'synthetic' union all select sample_id, coalesce(b.split_name, 'train') from p left join b using (group_id) where source = 'synthetic_negative'""")
 def group_split(spark, sf_dir):
-    """Made rows by hashed rank of their group; negatives follow the group of their output, train without one."""
+    """Made rows by hashed rank of their group in its tool type; negatives follow the group of their output, train without one."""
     rows = table(spark, sf_dir, "canonical_rows").where("source <> 'swe'").select("sample_id", "source", "tool_type", F.coalesce("split_group_id", "instance_id").alias("group_id"))
-    by = D.group_splits(rows.where("source = 'synthetic'").select("tool_type", "group_id")).groupBy("group_id").agg(F.min("split_name").alias("split_name"))
-    return rows.join(by, "group_id", "left").select("sample_id", F.coalesce("split_name", F.lit("train")).alias("split_name"))
+    return D.made_splits(rows)
 
 
 @query("""with pos as (select sample_id, tool_type, query from canonical_rows where source <> 'synthetic_negative'), size as (select greatest(1, floor(count(*) * 0.15::double)::integer) as n from pos),
@@ -164,14 +163,13 @@ def query_compat(spark, sf_dir):
 
 _AUDIT = f"""{sql.NORMAL}, l as ({sql.LINES}),
 raw as (select sample_id, sp.start_line as a, sp.end_line as b, p from (select sample_id, unnest(gold_spans) as sp, generate_subscripts(gold_spans, 1) as p from canonical_rows)),
-lines as (select l.sample_id, l.line from l join raw r on l.sample_id = r.sample_id and l.line_no between r.a and r.b where r.a >= 1),
+lines as (select l.sample_id, l.line from l join normal n on l.sample_id = n.sample_id and l.line_no between n.start_line and n.end_line),
 rel as (select sample_id, count(*) as n_rel, count(distinct line) as n_dist from lines group by sample_id),
 filled as (select sample_id, count(*) filter (where not regexp_full_match(line, '{WS}*')) as n_filled from l group by sample_id),
 same as (select c.sample_id, coalesce((select string_agg(a || '-' || b, ',' order by p) from raw where raw.sample_id = c.sample_id), '') as as_is, coalesce((select string_agg(start_line || '-' || end_line, ',' order by start_line) from normal where normal.sample_id = c.sample_id), '') as merged from canonical_rows c),
 checks as (select c.sample_id, c.tool_type, n_filled, coalesce(n_rel, 0) as n_rel, coalesce(n_rel, 0) - coalesce(n_dist, 0) as dup,
- list_filter([case when length(query) < 10 then 'task_too_short' end, case when length(tool_output) < 20 then 'tool_output_too_short' end, case when as_is <> merged and len(gold_spans) > 0 then 'gold_spans_not_normalized' end,
- case when coalesce(n_rel, 0) > coalesce(n_dist, 0) then 'duplicate_relevant_lines' end, case when n_filled > 0 and n_rel > 0 and n_rel / n_filled > 0.5 then 'high_relevant_ratio' end,
- case when coalesce(is_irrelevant, false) <> (merged = '') then 'is_irrelevant_wrong' end], lambda x: x is not null) as issues from canonical_rows c join filled using (sample_id) join same using (sample_id) left join rel using (sample_id))"""
+ list_filter([case when as_is <> merged and len(gold_spans) > 0 then 'gold_spans_not_normalized' end, case when length(query) < 10 then 'task_too_short' end, case when length(tool_output) < 20 then 'tool_output_too_short' end,
+ case when coalesce(n_rel, 0) > coalesce(n_dist, 0) then 'duplicate_relevant_lines' end, case when n_filled > 0 and n_rel > 0 and n_rel / n_filled > 0.5 then 'high_relevant_ratio' end], lambda x: x is not null) as issues from canonical_rows c join filled using (sample_id) join same using (sample_id) left join rel using (sample_id))"""
 
 
 @query(f"with {_AUDIT} select sample_id, tool_type, case when len(issues) = 0 then 'pass' else 'fail' end as status, coalesce(list_aggregate(issues, 'string_agg', ','), '') as issues, n_filled as n_output_lines, n_rel as n_relevant_lines, dup as duplicate_count from checks")

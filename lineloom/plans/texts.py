@@ -193,7 +193,7 @@ def document_facts(spark, sf_dir):
     return d.select("doc_id", F.regexp_extract("text", "([a-z]+(?:_[a-z0-9]+)+)", 1).alias("name"), (F.size(F.split("text", "/", -1)) - 1).cast("long").alias("slashes"), X.tokens_of(F.col("text")).alias("tokens"), (F.length("text") == F.col("n_chars")).alias("counted"))
 
 
-@query(r"""select doc_id, u as url, regexp_extract(u, '^https?://([^/:]+)', 1) as host from (select doc_id, unnest(list_transform(regexp_extract_all(text, 'https?://[^\s<>"'']+'), lambda x: regexp_replace(x, '[.,;)]+$', ''))) as u from documents where text is not null)""")
+@query(r"""select doc_id, u as url, regexp_extract(u, '^https?://([^/:]+)', 1) as host from (select doc_id, unnest(list_transform(regexp_extract_all(text, 'https?://[^\s"`''<>]+'), lambda x: regexp_replace(x, '[.,;)]+$', ''))) as u from documents where text is not null)""")
 def document_urls(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(X.urls(F.col("text"))).alias("url"))
     return d.withColumn("host", F.regexp_extract("url", "^https?://([^/:]+)", 1))
