@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
-from ..runtime import stable, table
+from ..runtime import checkpoint_dir, stable, table
 from . import leak, mixing, near_dup, overlap, pieces, spam, splits, tokenise, truncation
 
 
@@ -61,6 +62,18 @@ def p3_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits(spark, sf_dir)[1]
 
 
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows in two batches through a kept component table: all but the negatives, then the negatives."""
+    rows = table(spark, sf_dir, "canonical_rows")
+    targets = [(r.split_name, r.target_share) for r in table(spark, sf_dir, "split_targets").collect()]
+    keys = splits.record_keys(F.col("source"), F.col("instance_id"), F.col("output_origin_instance_id"))
+    records = rows.select(F.col("sample_id").alias("id"), keys.alias("keys"), F.col("split_name").alias("was"), F.when(F.col("source") == "synthetic_negative", 2).otherwise(1).alias("batch"))
+    path = f"{checkpoint_dir(spark)}/splits-{uuid.uuid4()}"
+    splits.advance(records.where("batch = 1").drop("batch"), targets, path)
+    assigned, _ = splits.advance(records.drop("batch"), targets, path)
+    return assigned.join(records.select("id", "batch"), "id").select(F.col("id").alias("sample_id"), "batch", F.col("split").alias("split_name"), "status")
+
+
 def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a row in a mix: line, copy, output shard and place in it."""
     return mixing.mix(table(spark, sf_dir, "canonical_rows"), table(spark, sf_dir, "mix_targets"))
@@ -155,7 +168,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_texts, p6_report,
+        p1_found, p1_report, p2_found, p2_groups, p3_splits, p3_shares, p3_conflicts, p3_batches, p4_mix, p4_rows, p4_report, p5_pieces, p6_found, p6_texts, p6_report,
         p7_ids, p7_slices, p8_found, p8_items, p8_pairs, p9_found, p9_scores,
     ]
     return {f.__name__: f for f in own}
@@ -214,6 +227,10 @@ mx as (select mix_name, greatest(sum(quota), 1) as all_planned, greatest(coalesc
 select mix_name, source, tool_type, target_share, max_repeats, available_rows, total as available_chars, quota as planned_chars, quota / all_planned as planned_share, coalesce(n_rows, 0) as n_rows,
   coalesce(n_uses, 0) as n_uses, coalesce(most_uses, 0) as most_uses, coalesce(chars, 0) as chars, coalesce(chars, 0) / all_chars as reached_share from rnd left join got using (nm) join mx using (mix_name)""",
         "p2_found": f"with {_PAIRS} select sample_id_a, sample_id_b from near",
+        "p2_groups": f"""with recursive {_PAIRS}, cls as (select sample_id, min(sample_id) over (partition by list_sort(ws)) as rep from big),
+lk as (select distinct a.rep as x, b.rep as y from near join cls a on a.sample_id = sample_id_a join cls b on b.sample_id = sample_id_b where a.rep <> b.rep), ln as (select x, y from lk union select y, x from lk),
+reach as (select distinct rep as x, rep as y from cls union select r.x, ln.y from reach r join ln on ln.x = r.y), root as (select x, min(y) as group_id from reach group by x), deg as (select x, count(*) as links from ln group by x)
+select c.sample_id, coalesce(rep, c.sample_id) as class_id, coalesce(group_id, c.sample_id) as group_id, coalesce(links, 0) as links from canonical_rows c left join cls using (sample_id) left join root on root.x = rep left join deg on deg.x = rep""",
         "p6_found": f"with {_PAIRS}, {_QUERY}, {_CROSS} select sample_id_a, sample_id_b from fnd",
         "p6_texts": f"""with {_PAIRS}, {_QUERY}, e as (select min(sample_id) as id from big join q using (sample_id) where split_name <> 'train' group by list_sort(big.ws)), t as (select min(sample_id) as id from big join q using (sample_id) where split_name = 'train' group by list_sort(big.ws))
 select e.id as eval_id, t.id as train_id, round(shared, 4) as shared from near join e on e.id in (sample_id_a, sample_id_b) join t on t.id in (sample_id_a, sample_id_b)""",

@@ -5,8 +5,9 @@ share a key, directly or through others, form a component and get one split. Com
 (key, component, split, rows) that is updated with every batch: new links are merged by hooking the larger root under
 the smaller and pointer jumping, until no link joins two roots. A component that was there keeps its split. New ones
 fill what the splits lack: large ones the emptiest split first, all others by a hash of the component, in proportion to
-what is left. A merge of components with different splits is quarantined: it is reported, every record still follows
-the one of more rows, so that related records stay together.
+what is left. A merge of persisted components with different splits is quarantined: it is not carried out, both keep
+their keys and splits, and the records that would join them are marked and follow the one of more rows. Records that
+had different splits before there was a table are no merge: all rows of their component follow the split of most.
 
 Records without any key are components of their own. Null keys are none. The number of rows, not of components, is
 brought near the target shares.
@@ -81,9 +82,10 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     """(assigned, new state, quarantined).
 
     records: id, keys (array<string>), was (split of an earlier assignment or null). assigned: id, component, split, was,
-    status ('kept', 'new', 'moved' if the record had another split, 'quarantined' if its component merged several).
-    quarantined: component, splits (of the components that merged), n_rows. With ``conflicts``, records that had
-    different splits are a conflict as components of a given state are.
+    status ('kept', 'new', 'moved' if the record had another split, 'quarantined' if its component met several).
+    quarantined: component, splits that met, n_rows. Components of ``state`` with different splits are held apart;
+    records that link only keys of one of them go with it. With ``conflicts``, records that had different splits are
+    reported as quarantined too, and follow the split of most rows.
     """
     spark = records.sparkSession
     names = [s for s, _ in targets]
@@ -100,15 +102,15 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     root = stable(components(links, nodes))
     of = stable(rows.select("id", "was", node(first).alias("node")).join(root, "node").select("id", "was", F.col("root").alias("component")))
     # votes for the split a component has: earlier components by their rows, records by their earlier split
-    earlier = old.groupBy("component", "split").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component"), "component").select(F.col("root").alias("component"), "split", "n", F.lit(1).alias("held"))
-    cast = of.where("was is not null").groupBy("component", F.col("was").alias("split")).agg(F.count("*").alias("n")).withColumn("held", F.lit(0))
-    votes = earlier.unionByName(cast).groupBy("component").agg(F.max(F.struct("held", "n", "split")).alias("top"), F.array_sort(F.collect_set(F.when((F.col("held") == 1) | F.lit(conflicts), F.col("split")))).alias("splits"))
+    earlier = old.groupBy("component", "split").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component").withColumnRenamed("root", "r"), "component").select(F.col("r").alias("component"), "split", "n", F.lit(1).alias("held"), F.col("component").alias("own"))
+    cast = of.where("was is not null").groupBy("component", F.col("was").alias("split")).agg(F.count("*").alias("n")).withColumns({"held": F.lit(0), "own": F.col("component")})
+    votes = earlier.unionByName(cast).groupBy("component").agg(F.max(F.struct("held", "n", "split", "own")).alias("top"), F.array_size(F.collect_set(F.when(F.col("held") == 1, F.col("split")))).alias("met"), F.array_sort(F.collect_set(F.when((F.col("held") == 1) | F.lit(conflicts), F.col("split")))).alias("splits"))
     size = of.groupBy("component").agg(F.count("*").alias("n_new"))
     had = old.groupBy("component").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component"), "component").groupBy(F.col("root").alias("component")).agg(F.sum("n").alias("n_old"))
     comps = stable(
         size.join(had, "component", "full")
         .join(votes, "component", "left")
-        .select("component", (F.coalesce("n_new", F.lit(0)) + F.coalesce("n_old", F.lit(0))).alias("n_rows"), F.col("top.split").alias("split"), F.coalesce("splits", F.array().cast("array<string>")).alias("splits"))
+        .select("component", (F.coalesce("n_new", F.lit(0)) + F.coalesce("n_old", F.lit(0))).alias("n_rows"), F.col("top.split").alias("split"), F.col("top.own").alias("own"), (F.coalesce("met", F.lit(0)) > 1).alias("apart"), F.coalesce("splits", F.array().cast("array<string>")).alias("splits"))
     )
     total = comps.agg(F.sum("n_rows")).first()[0] or 0
     room = {s: share * total for s, share in targets}
@@ -128,13 +130,22 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     big = spark.createDataFrame([(k, v) for k, v in placed.items()], "component long, big string")
     slots = spark.createDataFrame([(k, v) for k, v in by_slot.items()], "slot long, slotted string")
     comps = comps.join(F.broadcast(big), "component", "left").withColumn("slot", slot).join(F.broadcast(slots), "slot", "left")
-    comps = stable(comps.select("component", "n_rows", "splits", F.col("split").alias("had"), F.coalesce("split", "big", "slotted").alias("split")))
-    assigned = of.join(comps, "component").select(
-        "id", "component", "split", "was",
-        F.when(F.size("splits") > 1, "quarantined").when(F.col("was").isNotNull() & (F.col("was") != F.col("split")), "moved").when(F.col("had").isNull(), "new").otherwise("kept").alias("status"),
+    comps = stable(comps.select("component", "n_rows", "splits", "own", "apart", F.col("split").alias("had"), F.coalesce("split", "big", "slotted").alias("split")))
+    # records of components that are held apart: those with keys of one old component only stay with it
+    mine = rows.select("id", F.explode("keys").alias("key"), F.size("keys").alias("all")).join(old.select("key", F.col("component").alias("old"), F.col("split").alias("old_split")), "key")
+    mine = mine.groupBy("id").agg(F.count("*").alias("n"), F.first("all").alias("all"), F.min("old").alias("old"), F.max("old").alias("high"), F.first("old_split").alias("old_split")).where("n = all and old = high").select("id", "old", "old_split")
+    placed = of.join(comps, "component").join(mine, "id", "left")
+    alone = F.col("apart") & F.col("old").isNotNull()
+    split = F.when(alone, F.col("old_split")).otherwise(F.col("split"))
+    assigned = placed.select(
+        "id", F.when(alone, F.col("old")).when(F.col("apart"), F.col("own")).otherwise(F.col("component")).alias("component"), split.alias("split"), "was",
+        F.when(~alone & (F.size("splits") > 1), "quarantined").when(F.col("was").isNotNull() & (F.col("was") != split), "moved").when(F.col("had").isNull(), "new").otherwise("kept").alias("status"),
     )
-    keys = keyed.unionByName(old.select("node", "key")).distinct()
-    after = keys.join(root, "node").select("key", F.col("root").alias("component")).join(comps.select("component", "split", "n_rows"), "component").select("key", "component", "split", "n_rows")
+    keys = keyed.join(old.select("node"), "node", "left_anti").withColumns({"old": F.lit(None).cast("long"), "old_split": F.lit(None).cast("string"), "old_rows": F.lit(None).cast("long")})
+    keys = keys.unionByName(old.select("node", "key", F.col("component").alias("old"), F.col("split").alias("old_split"), F.col("n_rows").alias("old_rows")))
+    stays = F.col("apart") & F.col("old").isNotNull()
+    after = keys.join(root, "node").withColumnRenamed("root", "component").join(comps.select("component", "own", "apart", "split", "n_rows"), "component")
+    after = after.select("key", F.when(stays, F.col("old")).when(F.col("apart"), F.col("own")).otherwise(F.col("component")).alias("component"), F.when(stays, F.col("old_split")).otherwise(F.col("split")).alias("split"), F.when(stays, F.col("old_rows")).otherwise(F.col("n_rows")).alias("n_rows"))
     return assigned, after, comps.where("size(splits) > 1").select("component", "splits", "n_rows")
 
 
@@ -160,10 +171,10 @@ def advance(records: DataFrame, targets: list[tuple[str, float]], path: str) ->
         made = assigned.join(fresh.select("id", key), "id").select("id", "key", "was", "split", "status")
         state.write.mode("overwrite").parquet(f"{path}/{last + 1}/state")
         if last:
-            now = part("state", last + 1).select("key", "component", F.col("split").alias("now"))
-            status = F.when(F.col("_bad"), "quarantined").when(F.col("now") != F.col("split"), "moved").otherwise(F.col("status"))
-            kept = part("records", last).join(now, "key").join(bad.select("component", F.lit(True).alias("_bad")), "component", "left")
-            made = made.unionByName(kept.select("id", "key", "was", F.col("now").alias("split"), status.alias("status")))
+            now = part("state", last + 1).select("key", F.col("split").alias("now"))
+            status = F.when(F.col("now") != F.col("split"), "moved").otherwise(F.col("status"))
+            kept = part("records", last).join(now, "key").select("id", "key", "was", F.col("now").alias("split"), status.alias("status"))
+            made = made.unionByName(kept)
             bad = part("quarantined", last).unionByName(bad)
         made.write.mode("overwrite").parquet(f"{path}/{last + 1}/records")
         bad.write.mode("overwrite").parquet(f"{path}/{last + 1}/quarantined")

@@ -49,6 +49,16 @@ def test_hot_bucket_is_joined_as_a_grid(spark):
     assert found(near_dup.bucket_pairs(df, block=7)) == want == found(near_dup.bucket_pairs(df, block=500))
 
 
+def test_classes_are_expanded_as_a_grid(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(30)] + [(100 + i, 100) for i in range(11)] + [(500, 500)], "id long, rep long")
+    links = spark.createDataFrame([(0, 100), (100, 500)], "a long, b long")
+    x, y = range(30), range(100, 111)
+    want = set(combinations(x, 2)) | set(combinations(y, 2)) | {(a, b) for a in x for b in y} | {(b, 500) for b in y}
+    for block in (4, 500):
+        got = near_dup.expand(members, links, block).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 @pytest.mark.parametrize("jaccard", [0.3, 0.6, 0.9])
 def test_sketch_agrees_with_probability_of_similarity(jaccard):
     rng = np.random.default_rng(1)

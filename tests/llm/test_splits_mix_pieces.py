@@ -53,7 +53,7 @@ def test_update_keeps_old_splits_and_quarantines_conflicts(spark):
     assert got[22][1] == got[23][1] == got[24][1] == "new"
     assert [sorted(r.splits) for r in bad.collect()] == [["test", "train"]]
     keys = {r.key: (r.component, r.split) for r in after.collect()}
-    assert keys["a"] == keys["b"] and keys["c"] == keys["d"] and keys["c"][1] == "test"
+    assert keys["a"][1] == "train" and keys["b"][1] == "test" and keys["c"] == keys["d"] and keys["c"][1] == "test"
 
 
 def test_moved_rows_and_empty_input(spark):
@@ -80,11 +80,31 @@ def test_component_table_is_kept_and_advanced(spark, tmp_path):
     assert one[0] == ("train", "kept") and one[10] == ("test", "kept") and one[11][1] == "new" and len(one) == 7
     assert got(first) == one and not (tmp_path / "splits" / "2").exists()
     two = got([*first, (20, ["a", "b"], None), (21, ["b"], None)])
-    assert {two[i] for i in (0, 10, 20, 21)} == {("train", "quarantined")} and two[11] == one[11] and len(two) == 9
+    assert {i: two[i] for i in one} == one and two[20] == ("train", "quarantined") and two[21] == ("test", "kept") and len(two) == 9
     assigned, bad = splits.advance(records(spark, first), TARGETS, path)
     assert assigned.count() == 7 and [(r.splits, r.n_rows) for r in bad.collect()] == [(["test", "train"], 8)]
 
 
+def test_new_keys_of_a_held_merge_follow_the_larger_component(spark):
+    _, state, _ = splits.update(records(spark, [(i, ["a"], "train") for i in range(5)] + [(10, ["b"], "test")]), TARGETS)
+    rows = [(20, ["a", "x"], None), (21, ["x", "b"], None), (22, ["x"], None), (23, ["b"], None)]
+    got, after, bad = splits.update(records(spark, rows), TARGETS, state)
+    got = {r.id: (r.split, r.status) for r in got.collect()}
+    assert got == {20: ("train", "quarantined"), 21: ("train", "quarantined"), 22: ("train", "quarantined"), 23: ("test", "kept")}
+    keys = {r.key: (r.component, r.split) for r in after.collect()}
+    assert keys["x"] == keys["a"] and keys["b"][1] == "test" and bad.count() == 1
+    again, _, bad = splits.update(records(spark, [(30, ["x", "a"], None), (31, ["b"], None)]), TARGETS, after)
+    assert {r.id: (r.split, r.status) for r in again.collect()} == {30: ("train", "kept"), 31: ("test", "kept")} and bad.count() == 0
+
+
+def test_batches_keep_what_earlier_ones_decided(spark, sf):
+    got = {r.sample_id: r for r in queries.p3_batches(spark, sf).collect()}
+    rows = {r.sample_id: r for r in table(spark, sf, "canonical_rows").collect()}
+    assert got.keys() == rows.keys() and {r.batch for r in got.values()} == {1, 2}
+    one = {r.sample_id: r.split_name for r in queries.p3_splits(spark, sf).collect()}
+    assert sum(one[i] == r.split_name for i, r in got.items()) >= 0.9 * len(got)
+
+
 def test_repository_spellings(spark):
     ids = ["org__my-repo-12", "ORG__MY-REPO-13", "org/my-repo-14", " org__my-repo-15 "]
     df = spark.createDataFrame([(i,) for i in ids], "i string")
