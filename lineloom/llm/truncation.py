@@ -3,14 +3,19 @@
 Two kinds of evidence are added on the log-odds scale.
 
 *Length.* Per source, text lengths follow a log-normal distribution that is right-censored at field limits: a text
-longer than a limit is seen at the limit. Candidate limits are lengths whose count stands far above that of their
-neighbours. An EM iteration gives the maximum-likelihood location and scale, the number of censored values at each
-limit, and so the posterior that a value at this limit was censored.
+longer than a limit is seen at the limit. Candidate limits are lengths at which the number of different texts stands far
+above that of their neighbours; a short text that is frequent is no limit. An EM iteration over one length for each
+text (in characters, without a mark put after a cut) gives the maximum-likelihood location and scale, the number of
+censored values at each limit, and so the posterior that a value at this limit was censored and not there by the
+fitted density. A row is held against it with its lengths in characters and bytes, with and without the mark.
 
 *Ending.* A logistic model tells a whole line from one that stops inside. It needs no labels: whole lines are lines
 from inside the texts and last lines of texts whose length is at no limit; stopped ones are inner lines cut at a
 uniformly drawn character, some with what is usually put after a cut. It is fitted on a bounded sample
-(about ``SAMPLE_ROWS`` rows chosen by a hash of their ids, ``SAMPLE_LINES`` lines of each) and scores the last line of every row.
+(about ``SAMPLE_ROWS`` rows chosen by a hash of their ids, ``SAMPLE_LINES`` lines of each) and scores the last line of
+every row. Two models of half the sample's rows each score the other half: last lines that look stopped to the model that
+hasn't seen them are no examples of whole ones, and as overlapping features make scores too sure, their scale and offset
+are fitted on these scores. The final model is trained on what is left.
 
 Null and empty texts, and texts of white space only, are never cut. Length statistics and limits are those of all rows.
 """
@@ -32,6 +37,8 @@ from ..runtime import stable
 
 SAMPLE_ROWS = 8_000
 SAMPLE_LINES = 8
+#: One of so many inner lines is scored to calibrate.
+CALIBRATE = 4
 DIM = 1 << 18
 EPOCHS = 6
 #: Share of rows cut at a length that is no limit (mid-transfer) that the prior assumes.
@@ -72,8 +79,7 @@ def _kind(token: str) -> str:
 
 def line_features(tool: str, line: str, known: dict) -> list[int]:
     """Hashed features of the end of a line, of its frame and of open brackets and quotes."""
-    tokens = _TOKEN.findall(line[-400:])
-    head = _TOKEN.findall(line[:60])
+    tokens = _TOKEN.findall(line)
     shape = [_kind(t) for t in tokens]
     kinds = []
     for k in shape:
@@ -85,8 +91,8 @@ def line_features(tool: str, line: str, known: dict) -> list[int]:
     before = tokens[-2] if len(tokens) > 1 else ""
     seen = known.get(word, 0) if word else -1
     seen = "no" if seen < 0 else "new" if seen < 2 else "rare" if seen < 6 else "usual"
-    lead = "".join(_kind(t) for t in head[:3])
-    first = next((t.lower() for t in head if t.strip()), "")
+    lead = "".join(shape[:3])
+    first = next((t.lower() for t in tokens if not t.isspace()), "")
     opened = sum(line.count(a) - line.count(b) for a, b in ("()", "[]", "{}", "<>"))
     opened = max(-2, min(3, opened))
     quotes = "".join(str(line.count(q) % 2) for q in "'\"`")
@@ -99,7 +105,7 @@ def line_features(tool: str, line: str, known: dict) -> list[int]:
         f"kk{skeleton}" if len(skeleton) <= 40 else f"kl{skeleton[-30:]}", f"hk{lead}|{tail}", f"so{seen}{opened}{quotes}",
     ]
     plain = 0
-    for w in reversed(line[-300:].split(" ")):
+    for w in reversed(line.split(" ")):
         if not w.isalpha() or not w.islower():
             break
         plain += 1
@@ -108,7 +114,7 @@ def line_features(tool: str, line: str, known: dict) -> list[int]:
     prose = min(sum(w.isalpha() and w.islower() for w in words[-14:]), 12) // 3
     f += [
         f"p{plain}|{shape[-1:]}", f"pp{prose}|{shape[-1:]}", f"ps{prose}|{plain}|{seen}", f"pf{first}|{plain}|{prose}|{shape[-1:]}", f"fo{first}|{opened}|{quotes}|{shape[-1:]}",
-        f"nw{min(len(words), 25)}|{first}|{shape[-1:]}", f"l4{line[-4:]}", f"lw{words[-1][:24] if words else ''}", f"lk{''.join(_kind(t) for t in _TOKEN.findall(words[-1][-40:])) if words else ''}|{len(words) > 1}",
+        f"nw{min(len(words), 25)}|{first}|{shape[-1:]}", f"l4{line[-4:]}", f"lw{words[-1][:24] if words else ''}", f"lk{''.join(_kind(t) for t in _TOKEN.findall(words[-1])) if words else ''}|{len(words) > 1}",
         f"e{line[-1:]}|{opened}|{plain > 0}|{prose}",
     ]
     f += [f"{tool}|{x}" for x in (f[0], f[1], f[2], f[5], f[9], f[14], f[16], f[20], f[23], f[24], f[26], f[28], f[31], f[32])]
@@ -154,12 +160,12 @@ def line_before(text: str, line: str, note: str) -> str:
 class EndingModel:
     """Logistic model over hashed line features, with the words its sample knows."""
 
-    def __init__(self, weights: np.ndarray, bias: float, known: dict):
-        self.weights, self.bias, self.known = weights, bias, known
+    def __init__(self, weights: np.ndarray, bias: float, known: dict, scale: float = 1.0, offset: float = 0.0):
+        self.weights, self.bias, self.known, self.scale, self.offset = weights, bias, known, scale, offset
 
     def score(self, tool: str, line: str) -> float:
         """Log-odds that ``line`` stops inside, for even prior odds."""
-        return float(self.weights[line_features(tool, line, self.known)].sum() + self.bias)
+        return self.scale * float(self.weights[line_features(tool, line, self.known)].sum() + self.bias) + self.offset
 
 
 def cut_example(line: str, rng: np.random.Generator) -> str | None:
@@ -171,8 +177,47 @@ def cut_example(line: str, rng: np.random.Generator) -> str | None:
     return (stem + (MARKS[0] if u < 0.15 else MARKS[1] if u < 0.27 else MARKS[2] if u < 0.35 else "")) if stem.strip() else None
 
 
+def calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(scale, offset) at which ``scale * z + offset`` is nearest to the log-odds of ``y``: least log-loss on a grid.
+
+    Scores are never made surer than they are, and of equally good offsets the smallest is taken.
+    """
+    best = (math.inf, 1.0, 0.0)
+    for scale in np.linspace(0.1, 1.0, 19):
+        for offset in np.linspace(-4, 4, 33):
+            t = (scale * z + offset) * (1 - 2 * y)
+            loss = float((weight * np.logaddexp(0, t)).sum() / weight.sum() + 1e-4 * offset * offset)
+            best = min(best, (loss, float(scale), float(offset)))
+    return best[1:]
+
+
 def fit_ending(lines: pd.DataFrame, seed: int = 7) -> EndingModel:
-    """lines: tool, line, is_last. Inner and last lines are whole; inner ones are also cut to make the other class."""
+    """lines: row, tool, line, is_last. Inner and last lines are whole; inner ones are also cut to make the other class."""
+    rng = np.random.default_rng(seed + 1)
+    half = lines.row.to_numpy() % 2 if len(lines) else np.zeros(0, int)
+    z, y, weight, last = [], [], [], np.full(len(lines), -np.inf)
+    for part in (0, 1):
+        model = _fit(lines[half != part], seed)
+        for at in np.flatnonzero(half == part):
+            r = lines.iloc[at]
+            if not r.is_last and at % CALIBRATE:
+                continue
+            score = model.score(r.tool, r.line)
+            if r.is_last:
+                last[at] = score
+            cut = None if r.is_last else cut_example(r.line, rng)
+            z += [score] if cut is None else [score, model.score(r.tool, cut)]
+            y += [0] if cut is None else [0, 1]
+    z, y = np.array(z), np.array(y, float)
+    scale, offset = 1.0, 0.0
+    if len(z) >= 50 and 0 < y.sum() < len(y):
+        scale, offset = calibration(z, y, np.where(y == 1, (len(y) - y.sum()) / y.sum(), 1.0))
+    model = _fit(lines[scale * last + offset <= 0], seed)
+    model.scale, model.offset = scale, offset
+    return model
+
+
+def _fit(lines: pd.DataFrame, seed: int) -> EndingModel:
     rng = np.random.default_rng(seed)
     known = Counter()
     for line, is_last in zip(lines.line, lines.is_last):
@@ -190,7 +235,7 @@ def fit_ending(lines: pd.DataFrame, seed: int = 7) -> EndingModel:
     known_held = Counter(known)
     x = None
     for at, (tool, line, y, _) in enumerate(examples):  # a word counts as known only by its other occurrences
-        own = _TOKEN.findall(line[-400:])
+        own = _TOKEN.findall(line)
         w = own[-1].lower() if own and own[-1][:1].isalpha() else ""
         if not y and w in known_held:
             known_held[w] -= 1
@@ -227,18 +272,19 @@ def _base(text: Column) -> Column:
 
 
 def lengths(rows: DataFrame) -> DataFrame:
-    """sample id, source, and the lengths a limit may have been applied to."""
-    return rows.select("id", "source", F.length("text").alias("n"), F.length(F.regexp_replace("text", r"(?:\.\.\.|…|\x{FFFD})\s*$", "")).alias("nb"), F.octet_length("text").alias("nbytes"))
+    """source, n (characters without a mark after a cut), nbytes, and key of each different text of a source."""
+    base = F.length(F.regexp_replace("text", r"(?:\.\.\.|…|\x{FFFD})\s*$", ""))
+    return rows.select("source", F.xxhash64("text").alias("key"), base.alias("n"), F.octet_length("text").alias("nbytes")).distinct()
 
 
 def candidate_limits(sizes: DataFrame) -> DataFrame:
-    """source, size, rows, near: lengths with a count far above that of their neighbours (near: rows expected there)."""
+    """source, size, rows: lengths of far more different texts than their neighbours have. sizes: source, size, one row a text."""
     hist = sizes.groupBy("source", "size").agg(F.count("*").alias("rows"))
-    bins = hist.groupBy("source", F.floor(F.col("size") / NEIGHBOURS).alias("bin")).agg(F.sum("rows").alias("all"), F.max("rows").alias("top"))
+    bins = hist.groupBy("source", F.floor(F.col("size") / NEIGHBOURS).alias("bin")).agg(F.sum("rows").alias("all"))
     at = hist.where(f"rows >= {SPIKE_ROWS}").withColumn("bin", F.explode(F.expr(f"sequence(cast(floor(size / {NEIGHBOURS}) as bigint) - 1, cast(floor(size / {NEIGHBOURS}) as bigint) + 1)")))
     near = at.join(bins, ["source", "bin"], "left").groupBy("source", "size", "rows").agg(F.sum(F.coalesce(F.col("all"), F.lit(0))).alias("around"))
     near = near.withColumn("near", (F.col("around") - F.col("rows")) / (3.0 * NEIGHBOURS))
-    return near.where(F.expr(f"size >= 200 and rows > 3 * near and (rows - near) / sqrt(near + 1) >= {SPIKE_SIGMAS}")).select("source", "size", "rows", "near")
+    return near.where(F.expr(f"size > 0 and rows > 3 * near and (rows - near) / sqrt(near + 1) >= {SPIKE_SIGMAS}")).select("source", "size", "rows")
 
 
 def _tail(mu: float, sd: float, size: float) -> tuple[float, float, float]:
@@ -249,19 +295,19 @@ def _tail(mu: float, sd: float, size: float) -> tuple[float, float, float]:
     return s, mu + sd * r, sd * sd * (1 + z * r) + mu * mu + 2 * mu * sd * r
 
 
-def fit_censored(n: float, s1: float, s2: float, limits: list[tuple[float, float, float]], rounds: int = 200) -> tuple[float, float, dict]:
-    """(mu, sigma, {limit: posterior}) of a log-normal right-censored at ``limits`` (size, rows, near).
+def fit_censored(n: float, s1: float, s2: float, limits: list[tuple[float, float]], rounds: int = 200) -> tuple[float, float, dict]:
+    """(mu, sigma, {limit: posterior}) of a log-normal right-censored at ``limits`` (size, rows).
 
     n, s1 and s2 are the number of all values, and the sums of their log and squared log lengths.
     """
     if n < 2:
-        return 0.0, 1.0, {size: 0.0 for size, *_ in limits}
+        return 0.0, 1.0, {size: 0.0 for size, _ in limits}
     mu, sd = s1 / n, math.sqrt(max(s2 / n - (s1 / n) ** 2, 1e-4))
-    post = {size: max(0.0, 1 - near / rows) for size, rows, near in limits}
+    post = {}
     for _ in range(rounds):
         m1, m2 = s1, s2
-        for size, rows, near in limits:
-            natural = max(near, n * math.exp(-((math.log(size) - mu) ** 2) / (2 * sd * sd)) / (size * sd * math.sqrt(2 * math.pi)))
+        for size, rows in limits:
+            natural = n * math.exp(-((math.log(size) - mu) ** 2) / (2 * sd * sd)) / (size * sd * math.sqrt(2 * math.pi))
             post[size] = min(1 - 1e-3, max(1e-3, 1 - natural / rows))
             c = post[size] * rows
             _, e1, e2 = _tail(mu, sd, size)
@@ -275,49 +321,52 @@ def fit_censored(n: float, s1: float, s2: float, limits: list[tuple[float, float
     return mu, sd, post
 
 
-def length_model(sizes: DataFrame) -> tuple[dict, list[tuple]]:
-    """{source: (mu, sigma, rows)} and (source, limit, rows, posterior) of every candidate limit."""
-    limits = candidate_limits(sizes).collect()  # a few spikes a source
-    stats = sizes.where("size > 0").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.log("size")).alias("s1"), F.sum(F.pow(F.log("size"), 2)).alias("s2")).collect()
+def length_model(texts: DataFrame) -> tuple[dict, list[tuple]]:
+    """{source: (mu, sigma, texts)} and (source, limit, texts there, posterior) of every candidate limit; texts as of :func:`lengths`.
+
+    Limits are looked for among lengths in characters and in bytes; the fit is over one length a text. What comes to the
+    driver are a row a source, and its limits.
+    """
+    limits = candidate_limits(texts.select("source", F.explode(F.array_distinct(F.array("n", "nbytes"))).alias("size"))).collect()
+    stats = texts.where("n > 0").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.log("n")).alias("s1"), F.sum(F.pow(F.log("n"), 2)).alias("s2")).collect()
     fits, found = {}, []
     for r in stats:
-        own = [(float(x.size), float(x.rows), float(x.near)) for x in limits if x.source == r.source]
+        own = [(float(x.size), float(x.rows)) for x in limits if x.source == r.source]
         mu, sd, post = fit_censored(float(r.n), float(r.s1), float(r.s2), own)
         fits[r.source] = (mu, sd, int(r.n))
-        found += [(r.source, int(size), int(rows), float(post[size])) for size, rows, _ in own]
+        found += [(r.source, int(size), int(rows), float(post[size])) for size, rows in own]
     return fits, found
 
 
 def _sample_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for tool, text, plain in zip(pdf.tool, pdf.text, pdf.plain):
+        for row, tool, text, plain in zip(pdf.row, pdf.tool, pdf.text, pdf.plain):
             lines = [x.rstrip() for x in re.sub(_ANSI, "", text).rstrip().split("\n")]
             inner = [x for x in lines[:-1] if x.strip()]
             if inner:
                 rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text[:2000].encode("utf-8", "replace")))
                 pick = rng.choice(len(inner), min(SAMPLE_LINES, len(inner)), replace=False)
-                out += [(tool, inner[i], False) for i in pick]
+                out += [(row, tool, inner[i], False) for i in pick]
             if plain:
                 line, note = final_line(text)
                 if line.strip() and not note:
-                    out.append((tool, line, True))
-        yield pd.DataFrame(out, columns=["tool", "line", "is_last"])
+                    out.append((row, tool, line, True))
+        yield pd.DataFrame(out, columns=["row", "tool", "line", "is_last"])
 
 
 def cut_rows(df: DataFrame, id_col: str = "sample_id", text_col: str = "tool_output", source_col: str = "source", tool_col: str = "tool_type") -> tuple[DataFrame, list[tuple]]:
     """((id, source, log_odds, posterior) of every row, limits as of :func:`length_model`)."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(tool_col), F.lit("")).alias("tool"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = stable(lengths(rows))
-    fits, limits = length_model(size.select("source", F.explode(F.array_distinct(F.array("nb", "nbytes"))).alias("size")))
+    fits, limits = length_model(stable(lengths(rows)))
     at_limit: dict[str, dict[int, float]] = {}
     for source, n, _, p in limits:
         at_limit.setdefault(source, {})[n] = p
     every = sorted({n for _, n, _, _ in limits})
     sizes_there = F.col("text").isNotNull() if not every else ~(F.length(_base(F.col("text"))).isin(every) | F.length("text").isin(every) | F.octet_length("text").isin(every))
-    total = size.count()
+    total = rows.count()
     sampled = rows.where("length(text) > 0").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(total, 1)) * (1 << 30)))
-    lines = sampled.select("tool", "text", sizes_there.alias("plain")).mapInPandas(_sample_lines, "tool string, line string, is_last boolean").toPandas()
+    lines = sampled.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)).alias("row"), "tool", "text", sizes_there.alias("plain")).mapInPandas(_sample_lines, "row long, tool string, line string, is_last boolean").toPandas()
     model = fit_ending(lines)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -130,12 +130,28 @@ def test_censored_fit_recovers_parameters():
     x = np.exp(rng.normal(7.5, 0.6, 40_000)).astype(int) + 1
     limited = rng.random(len(x)) < 0.3
     x = np.where(limited & (x > 2000), 2000, x)
-    at = int((x == 2000).sum())
-    near = float(((x > 1900) & (x < 2100) & (x != 2000)).sum()) / 199
-    mu, sd, post = truncation.fit_censored(len(x), float(np.log(x).sum()), float((np.log(x) ** 2).sum()), [(2000.0, float(at), near)])
+    mu, sd, post = truncation.fit_censored(len(x), float(np.log(x).sum()), float((np.log(x) ** 2).sum()), [(2000.0, float((x == 2000).sum()))])
     assert abs(mu - 7.5) < 0.03 and abs(sd - 0.6) < 0.03 and post[2000.0] > 0.98
 
 
+def test_short_limits_are_found_and_frequent_texts_are_none(spark):
+    rng = np.random.default_rng(8)
+    made = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    texts = [made(int(np.exp(rng.normal(5.5, 0.7))) + 1) for _ in range(2000)]
+    texts = [t[:120] if len(t) > 120 and i % 4 == 0 else t for i, t in enumerate(texts)] + ["nothing to do"] * 500
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, source string, text string")
+    fits, limits = truncation.length_model(truncation.lengths(rows))
+    assert [(s, n) for s, n, _, _ in limits] == [("s", 120)] and limits[0][3] > 0.9 and fits["s"][2] == len(set(texts))
+
+
+def test_calibration_recovers_scale():
+    rng = np.random.default_rng(9)
+    t = rng.normal(0, 2, 20_000)
+    y = (rng.random(len(t)) < 1 / (1 + np.exp(-t))).astype(float)
+    scale, offset = truncation.calibration(2.5 * t + 1, y, np.ones(len(t)))
+    assert abs(scale - 0.4) < 0.03 and abs(offset + 0.4) < 0.1
+
+
 @pytest.mark.parametrize(
     "text,line,note",
     [("a\nb c", "b c", ""), ("a\nb c\n... (3 more lines omitted)\n", "b c", "omitted"), ("a\nb c\npipe closed by remote side", "b c", "broken"), ("\x1b[31ma\x1b[0m", "a", ""), ("", "", "")],
@@ -152,7 +168,7 @@ def test_final_line_before_framed_and_numbered_notes(note):
 def test_long_lines_are_taken_whole():
     long = '{"a": [' + ", ".join(f'"w{i}"' for i in range(8000)) + "]}"
     assert len(long) > 40_000 and truncation.final_line(f"x\n{long}\n") == (long, "")
-    sample = next(truncation._sample_lines(iter([pd.DataFrame({"tool": ["t"], "text": [f"{long}\n{long}"], "plain": [True]})])))
+    sample = next(truncation._sample_lines(iter([pd.DataFrame({"row": [1], "tool": ["t"], "text": [f"{long}\n{long}"], "plain": [True]})])))
     assert list(sample.line) == [long, long]
 
 
