@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrays import cumulative
 
 
 def explode(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -16,10 +17,10 @@ def explode(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def offsets(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """keep..., line_no, line, start and stop (half-open code points of the text)."""
     rows = df.select(*keep, X.lines(F.col(text_col)).alias("_lines"))
-    ends = F.aggregate("_lines", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x) + 1))
-    rows = rows.withColumn("_ends", ends)
-    rows = rows.select(*keep, "_ends", F.posexplode("_lines").alias("_i", "line"))
-    return rows.select(*keep, (F.col("_i") + 1).alias("line_no"), "line", F.get("_ends", F.col("_i")).alias("start"), (F.get("_ends", F.col("_i")) + F.length("line")).alias("stop"))
+    rows = rows.withColumn("_starts", cumulative(F.transform("_lines", lambda x: F.length(x) + 1)))
+    rows = rows.select(*keep, F.posexplode(F.arrays_zip("_lines", "_starts")).alias("_i", "_z")).where("_z._lines is not null")
+    start = F.col("_z._starts").cast("int")
+    return rows.select(*keep, (F.col("_i") + 1).alias("line_no"), F.col("_z._lines").alias("line"), start.alias("start"), (start + F.length("_z._lines")).alias("stop"))
 
 
 def numbered(text: Column) -> Column:

@@ -149,3 +149,20 @@ def summary(column: str) -> list[Column]:
     """count, mean, median, sample deviation (0 for one value), minimum, maximum; rounded to 4 digits."""
     c = F.col(column)
     return [F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.median(c), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("stdev"), F.round(F.min(c), 4).alias("lowest"), F.round(F.max(c), 4).alias("highest")]
+
+
+MEASURES = ("precision", "recall", "f1", "exact_match", *FUZZY, "empty_correct", "compression")
+
+
+def bundle(df: DataFrame, id_col: str) -> DataFrame:
+    """metric, n, mean, median, stdev, lowest, highest of all measures, and n_samples and n_errors of all examples.
+
+    df: id, text, pred, ref, error; an example with an error is in no measure.
+    """
+    rows = df.where("error is null or error = ''")
+    m = span_metrics(F.col("pred"), F.col("ref"))
+    right = empty_category(F.col("pred"), F.col("ref")).isin("true_positive", "true_negative").cast("double")
+    plain = rows.select(id_col, *(v.alias(k) for k, v in m.items()), right.alias("empty_correct"), compression(F.col("text"), F.array_join("pred", "\n")).alias("compression"))
+    every = plain.join(fuzzy_metrics(rows, id_col), id_col).select(*MEASURES)
+    n = df.agg(F.count("*").alias("samples"), F.count_if(F.coalesce(F.col("error") != "", F.lit(False))).alias("errors")).first()
+    return every.unpivot([], list(MEASURES), "metric", "value").groupBy("metric").agg(*summary("value")).withColumns({"n_samples": F.lit(n.samples).cast("long"), "n_errors": F.lit(n.errors).cast("long")})

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: A labelled output has at least so many lines and relevant lines, and a share of relevant ones between these.
+#: A labelled output has at least so many lines and relevant lines, and a share of relevant ones between these.
 LEAST_LINES, LEAST_RELEVANT, LEAST_SHARE, MOST_SHARE = 10, 3, 0.02, 0.40
-#: Lines around a changed range in which a search hit counts as near it.
+#: Fixed value: lines around a changed range in which a search hit counts as near it.
 NEAR = 10
 _NUMBERED = re.compile(r"^\d+: (.*)$")
 HUNKS = "array<struct<file:string,start:int,stop:int>>"
@@ -129,20 +129,24 @@ def label_generic() -> Column:
 
 
 def enclosing(content: list[str], targets: list[int]) -> set[int]:
-    """Lines of the definitions around target lines: going up, each def or class line that is indented less."""
-    indent = [len(x) - len(x.lstrip()) for x in content]
-    head = [x.lstrip().startswith(("def ", "class ")) for x in content]
+    """Lines of the definitions around target lines: a def or class line up to the next one that is indented no more
+    encloses what is indented more. One pass, with the open definitions on a stack."""
+    wanted = set(targets)
     out: set[int] = set()
-    for t in targets:
-        if not 1 <= t <= len(content):
-            continue
-        level = indent[t - 1]
-        for i in range(t - 2, -1, -1):
-            if head[i] and indent[i] < level:
-                out.add(i + 1)
-                level = indent[i]
-                if not level:
+    open_: list[tuple[int, int]] = []
+    for i, x in enumerate(content, 1):
+        bare = x.lstrip()
+        depth = len(x) - len(bare)
+        if i in wanted:
+            for level, at in reversed(open_):
+                if level < depth and at in out:
                     break
+                if level < depth:
+                    out.add(at)
+        if bare.startswith(("def ", "class ")):
+            while open_ and open_[-1][0] >= depth:
+                open_.pop()
+            open_.append((depth, i))
     return out
 
 

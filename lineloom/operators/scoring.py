@@ -58,10 +58,18 @@ def pooled(windows: DataFrame) -> DataFrame:
 
 
 def extract_many(df: DataFrame, factory: Callable[[], Scorer] = word_scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """id, kept_text of every observation; ids keep the order of the input apart from the partitions."""
-    both = df.select("id", "text").join(line_scores(df, factory), "id")
-    kept = F.filter(F.transform(X.lines(F.coalesce("text", F.lit(""))), lambda x, i: F.when(F.get("scores", i) >= threshold, x)), lambda x: x.isNotNull())
-    return both.select("id", F.array_join(kept, "\n").alias("kept_text"))
+    """id, kept_text of every observation, in one pass; ids keep the order of the input apart from the partitions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = factory()
+        for pdf in batches:
+            kept = []
+            for query, text in zip(pdf["query"], pdf.text):
+                lines = (text or "").split("\n")
+                kept.append("\n".join([x for x, s in zip(lines, scorer(query or "", lines)) if s >= threshold]))
+            yield pd.DataFrame({"id": pdf.id, "kept_text": kept})
+
+    return df.select("id", "text", "query").mapInPandas(run, f"id {dict(df.dtypes)['id']}, kept_text string")
 
 
 def model_input(task: Column, lines: Column, cls: int, sep: int, line_sep: int, most: int) -> Column:

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for part in ("texts", "evaluation", "assembly", "labels", "sessions"):
+    for part in ("texts", "evaluation", "assembly", "labels", "sessions", "curation"):
         import_module(f"lineloom.plans.{part}")
 
 

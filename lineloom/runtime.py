@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is made and set on the context.
+    Only on one machine (a local master), where that is unset, a temporary folder is made, and deleted at exit; on a
+    cluster tasks elsewhere couldn't read such a folder, so there an unset one is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
-        current = named or tempfile.mkdtemp(prefix="lineloom-checkpoint-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            current = tempfile.mkdtemp(prefix="lineloom-checkpoint-")
+            atexit.register(shutil.rmtree, current, ignore_errors=True)
         sc.setCheckpointDir(current)
     return current
 
