@@ -16,3 +16,17 @@ def cumulative(sizes: Column) -> Column:
         return batch.map(lambda a: np.concatenate([[0], np.cumsum(a)]).astype(np.int64) if a is not None and len(a) else np.zeros(1, np.int64))
 
     return run(sizes)
+
+
+def first_within(ends: Column, reach: Column) -> Column:
+    """For each position of running sums (from 0), the last index whose sum is at least ``reach`` below, or 0."""
+
+    @F.pandas_udf("array<int>")
+    def run(batch: pd.Series, by: pd.Series) -> pd.Series:
+        def one(a, n):
+            a = np.asarray(a)
+            return np.maximum(np.searchsorted(a, a - n, "right") - 1, 0).astype(np.int32)
+
+        return pd.Series([one(a, n) for a, n in zip(batch, by)], dtype=object)
+
+    return run(ends, reach)
