@@ -7,7 +7,8 @@ step is at most ``max_chars - overlap_chars`` long; a piece is a step and what i
 ``overlap_chars``, and up to as much again if a line starts there. So pieces are within the limit, consecutive ones
 share at least the overlap, and together they are the text.
 
-All is done with array functions inside one row; nothing is shuffled. Lengths are code points. A gold line counts as
+All is done with array functions inside one row; nothing is shuffled. What stands before a step is taken from the steps
+before it, never from the whole text, so the cost of a text is in proportion to its length; only lengths leave the JVM. Lengths are code points. A gold line counts as
 held by a piece if the piece has all of it. Null and empty texts, and those within their limit, give no piece. A limit
 not above the overlap is an error. Limits are looked up by tool type, null being any other.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import cumulative, first_within
+from ..functions.let import let
 from ..operators import spans as S
 
 
@@ -62,23 +65,38 @@ def pieces(df: DataFrame, limits: DataFrame, id_col: str = "sample_id", text_col
     most, overlap, pattern = _limits(df, tool_col, rules)
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), F.col(tool_col), F.col(spans_col).alias("spans")).withColumns({"most": most, "overlap": overlap}).where(F.length("text") > F.col("most"))
     rows = rows.select(id_col, "text", "most", "overlap", S.normalise(F.col("spans"), S.n_lines(F.col("text"))).alias("spans"), F.expr("length(text)").alias("n"), F.regexp_extract_all("text", pattern, 0).alias("steps"))
-    add = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
     newlines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    rows = rows.withColumns({"ends": add(F.transform("steps", F.length)), "before": add(F.transform("steps", newlines))})
-    each = F.transform(F.sequence(F.lit(0), F.size("steps") - 1), lambda i: F.struct(i.alias("piece"), F.get("ends", i).alias("step"), F.get("ends", i + 1).alias("end"), F.get("before", i).alias("lines_before")))
-    rows = rows.select(id_col, "text", "most", "overlap", "spans", "n", F.inline(each))
-    # the earliest start that keeps the limit and looks back at most twice the overlap
-    rows = rows.withColumn("low", F.when(F.col("piece") == 0, 0).otherwise(F.greatest(F.lit(0), F.col("end") - F.col("most"), F.col("step") - 2 * F.col("overlap"))))
-    rows = rows.withColumn("high", F.when(F.col("piece") == 0, 0).otherwise(F.greatest(F.lit(0), F.col("step") - F.col("overlap"))))
-    back = F.expr("substring(text, low + 1, high - low)")
-    at = F.instr(F.reverse(back), "\n")
-    rows = rows.withColumn("start", F.when(at > 0, F.col("high") - at + 1).otherwise(F.col("high")))
-    rows = rows.withColumn("piece_text", F.expr("substring(text, start + 1, end - start)"))
-    rows = rows.withColumn("first_line", 1 + F.col("lines_before") - newlines(F.expr("substring(text, start + 1, step - start)")))
-    rows = rows.withColumn("last_line", F.col("first_line") + newlines(F.col("piece_text")) - F.col("piece_text").endswith("\n").cast("int"))
-    whole_first = (F.col("start") == 0) | F.expr("substring(text, start, 1) = '\\n'")
-    whole_last = (F.col("end") == F.col("n")) | F.col("piece_text").endswith("\n") | F.expr("substring(text, end + 1, 1) = '\\n'")
-    a = F.when(whole_first, F.col("first_line")).otherwise(F.col("first_line") + 1)
-    b = F.when(whole_last, F.col("last_line")).otherwise(F.col("last_line") - 1)
-    rows = rows.withColumns({"gold": S.within(F.col("spans"), a, b), "touched": S.within(F.col("spans"), F.col("first_line"), F.col("last_line"))})
-    return rows.select(id_col, "piece", "start", "end", "first_line", "last_line", "piece_text", "gold", (S.covered_lines(F.col("touched")) - S.covered_lines(F.col("gold"))).alias("gold_cut"))
+    rows = rows.withColumns({"ends": cumulative(F.transform("steps", F.length)), "before": cumulative(F.transform("steps", newlines))})
+    rows = rows.withColumn("firsts", first_within(F.col("ends"), 2 * F.col("overlap") + 1)).drop("text")
+
+    def place(i: Column) -> Column:
+        first = F.get("firsts", i)
+        return let(look_back, i=i, step=F.get("ends", i).cast("int"), end=F.get("ends", i + 1).cast("int"), own=F.get("steps", i), origin=F.get("ends", first).cast("int"), back=F.array_join(F.slice("steps", first + 1, i - first), ""))
+
+    def look_back(v: Column) -> Column:
+        """The earliest start that keeps the limit and looks back at most twice the overlap, at a line's start if there is one."""
+        low = F.when(v["i"] == 0, 0).otherwise(F.greatest(F.lit(0), v["end"] - F.col("most"), v["step"] - 2 * F.col("overlap")))
+        high = F.when(v["i"] == 0, 0).otherwise(F.greatest(F.lit(0), v["step"] - F.col("overlap")))
+        return let(lambda w: with_start(v, w), high=high, at=F.instr(F.reverse(F.substring(v["back"], low - v["origin"] + 1, high - low)), "\n"))
+
+    def with_start(v: Column, w: Column) -> Column:
+        start = F.when(w["at"] > 0, w["high"] - w["at"] + 1).otherwise(w["high"])
+        return let(lambda x: with_lead(v, x), start=start, lead=F.substring(v["back"], start - v["origin"] + 1, v["step"] - start))
+
+    def with_lead(v: Column, x: Column) -> Column:
+        line = (1 + F.get("before", v["i"]) - newlines(x["lead"])).cast("int")
+        return let(lambda y: finish(v, x, y), text=F.concat(x["lead"], v["own"]), first=line)
+
+    def finish(v: Column, x: Column, y: Column) -> Column:
+        last = y["first"] + newlines(y["text"]) - y["text"].endswith("\n").cast("int")
+        whole_first = (x["start"] == 0) | (F.substring(v["back"], x["start"] - v["origin"], F.lit(1)) == "\n")
+        whole_last = (v["end"] == F.col("n")) | y["text"].endswith("\n") | F.coalesce(F.get("steps", v["i"] + 1).startswith("\n"), F.lit(False))
+        a = F.when(whole_first, y["first"]).otherwise(y["first"] + 1)
+        b = F.when(whole_last, last).otherwise(last - 1)
+        return F.struct(
+            v["i"].alias("piece"), x["start"].alias("start"), v["end"].alias("end"), y["first"].alias("first_line"), last.alias("last_line"), y["text"].alias("piece_text"),
+            S.within(F.col("spans"), a, b).alias("gold"), S.covered_lines(S.within(F.col("spans"), y["first"], last)).alias("touched"),
+        )
+
+    rows = rows.select(id_col, F.inline(F.transform(F.sequence(F.lit(0), F.size("steps") - 1), place)))
+    return rows.select(id_col, "piece", "start", "end", "first_line", "last_line", "piece_text", "gold", (F.col("touched") - S.covered_lines(F.col("gold"))).alias("gold_cut"))

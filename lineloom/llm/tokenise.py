@@ -182,13 +182,27 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slot = Slots(self._add)
-        self.flat: list[int] = []
-        self.begin: list[int] = [0]
+        self.fresh: list[list[int]] = []
+        self.n_slots = self.n_flat = 0
+        self.flat, self.begin = np.empty(1 << 16, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, piece: str) -> int:
-        self.flat += merge(piece.encode("utf-8"), self.ranks)
-        self.begin.append(len(self.flat))
-        return len(self.begin) - 2
+        self.fresh.append(merge(piece.encode("utf-8"), self.ranks))
+        return self.n_slots + len(self.fresh) - 1
+
+    def _settle(self) -> None:
+        """Moves newly merged slices to the buffers, which grow by doubling."""
+        if not self.fresh:
+            return
+        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
+        ids = np.fromiter((i for x in self.fresh for i in x), np.int64, int(sizes.sum()))
+        while self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n_slots + len(sizes) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.begin[self.n_slots + 1 : self.n_slots + 1 + len(sizes)] = self.n_flat + np.cumsum(sizes)
+        self.n_slots, self.n_flat, self.fresh = self.n_slots + len(sizes), self.n_flat + len(ids), []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each text, slice starts within texts, ids of each slice, slices of each text)."""
@@ -213,9 +227,9 @@ class Encoder:
             ends = np.append(starts[1:], len(points))
             pieces = map(whole.__getitem__, map(slice, starts.tolist(), ends.tolist()))
         slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(starts))
-        begin = np.array(self.begin, np.int64)
-        flat = np.array(self.flat, np.int64)
-        count = (begin[1:] - begin[:-1])[slots]
+        self._settle()
+        begin, flat = self.begin, self.flat
+        count = begin[slots + 1] - begin[slots]
         total = int(count.sum())
         shift = np.repeat(begin[slots] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
         ids = flat[np.arange(total) + shift]
