@@ -40,15 +40,15 @@ def _bigrams(line: str) -> set[str]:
     return {line[i : i + 2] for i in range(len(line) - 1)} if len(line) > 1 else {line}
 
 
-def line_overlap(a: str, b: str) -> float:
-    """0 if either is empty, 1 if equal, the length ratio if one holds the other, else the Dice score of bigram sets."""
+def line_overlap(a: str, b: str, x: set[str] | None = None, y: set[str] | None = None) -> float:
+    """0 if either is empty, 1 if equal, the length ratio if one holds the other, else the Dice score of bigram sets (``x``, ``y``)."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     if a in b or b in a:
         return min(len(a), len(b)) / max(len(a), len(b))
-    x, y = _bigrams(a), _bigrams(b)
+    x, y = x or _bigrams(a), y or _bigrams(b)
     return 2 * len(x & y) / (len(x) + len(y))
 
 
@@ -57,15 +57,26 @@ def fuzzy_counts(pred: list[str], ref: list[str], threshold: float = 0.5) -> int
 
     Repeated lines are scored once; the scores of equal lines are equal.
     """
-    score: dict[tuple[str, str], float] = {}
-    pairs = []
+    at_b: dict[str, list[int]] = {}
+    for j, b in enumerate(ref):
+        at_b.setdefault(b, []).append(j)
+    sets_b = [(b, _bigrams(b), at) for b, at in at_b.items() if b]
+    at_a: dict[str, list[int]] = {}
     for i, a in enumerate(pred):
-        for j, b in enumerate(ref):
-            s = score.get((a, b))
-            if s is None:
-                s = score[a, b] = line_overlap(a, b)
+        at_a.setdefault(a, []).append(i)
+    # a Dice score of t needs set sizes in a ratio of t / (2 - t), a length ratio of t needs that of lengths
+    least = threshold / (2 - threshold)
+    pairs = []
+    for a, at in at_a.items():
+        if not a:
+            continue
+        x = _bigrams(a)
+        for b, y, of in sets_b:
+            if min(len(x), len(y)) < least * max(len(x), len(y)) and min(len(a), len(b)) < threshold * max(len(a), len(b)):
+                continue
+            s = line_overlap(a, b, x, y)
             if s >= threshold:
-                pairs.append((s, i, j))
+                pairs += [(s, i, j) for i in at for j in of]
     used_a, used_b, n = set(), set(), 0
     for _, i, j in sorted(pairs, reverse=True):
         if i not in used_a and j not in used_b:
@@ -83,12 +94,16 @@ def partial_cover(pred: list[str], ref: list[str]) -> float:
     if not pred or not total:
         return 0.0
     distinct = {a: _bigrams(a) for a in set(pred)}
-    got = 0
+    got, seen = 0, {}
     for b in ref:
+        if b in seen:
+            got += seen[b]
+            continue
         y = _bigrams(b)
         best = 0
         for a, x in distinct.items():
             best = max(best, min(len(a), len(b)) if a in b or b in a else int(len(x & y) / len(y) * len(b)))
+        seen[b] = best
         got += best
     return round(got / total, 4)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.let import let
 
 #: Share of lines kept, at least one line.
 RATIO = 0.1
@@ -52,32 +56,39 @@ def hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("kept", F.sort_array(F.transform(F.slice(F.sort_array(ranked), 1, budget(_n())), lambda s: s["i"])))
 
 
-@pruner("bm25")
-def bm25(df: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Lines of highest BM25 against the query's distinct words; of equal scores the later line wins."""
+def bm25_lines(text: str, query: str, k1: float, b: float) -> list[int]:
+    """Numbers of the lines of highest BM25 of a lower-cased text; see :func:`bm25`."""
+    words = [x.split() for x in text.split("\n")]
+    n = len(words)
+    terms = sorted(set(query.split()))
+    avg = max(sum(map(len, words)) / n, 1.0)
+    asked = set(terms)
+    hits = [(i, Counter(t for t in w if t in asked)) for i, w in enumerate(words) if not asked.isdisjoint(w)]
+    df = Counter(t for _, c in hits for t in c)
+    idf = {t: math.log((n - d + 0.5) / (d + 0.5) + 1.0) for t, d in df.items()}
+    score = [(0.0, i) for i in range(n)]
+    for i, c in hits:
+        norm = k1 * ((1 - b) + b * len(words[i]) / avg)
+        total = 0.0
+        for t in terms:
+            if t in c:
+                total += idf[t] * (c[t] * (k1 + 1) / (c[t] + norm))
+        score[i] = (round(total, 9), i)
+    return sorted(i + 1 for _, i in heapq.nlargest(max(1, int(n * RATIO)), score))
 
-    def counts(c: Column) -> Column:
-        n = F.size(c["w"])
-        found = F.transform(c["t"], lambda t: F.size(F.filter(c["w"], lambda w: F.array_contains(w, t))).cast("double"))
-        idf = F.transform(found, lambda d: F.ln((n - d + F.lit(0.5)) / (d + F.lit(0.5)) + F.lit(1.0)))
-        total = F.aggregate(c["w"], F.lit(0).cast("long"), lambda a, w: a + F.size(w)).cast("double")
-        return let(lambda x: kept(c, x), n=n, idf=idf, avg=F.greatest(total / n, F.lit(1.0)))
 
-    def kept(c: Column, x: Column) -> Column:
-        def score(w: Column) -> Column:
-            norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(w) / x["avg"])
-
-            def term(t: Column, j: Column) -> Column:
-                hits = F.size(F.filter(w, lambda y: y == t)).cast("double")
-                return F.when(F.array_contains(w, t), let(lambda h: F.get(x["idf"], j) * (h["tf"] * F.lit(k1 + 1) / (h["tf"] + h["norm"])), tf=hits, norm=norm)).otherwise(0.0)
+@pruner("bm25")
+def bm25(df: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Lines of highest BM25 against the query's distinct words; of equal scores the later line wins.
 
-            return F.aggregate(F.transform(c["t"], term), F.lit(0.0), lambda a, y: a + y)
+    One Arrow pass over text and query, in time in proportion to the text; null text or query gives null.
+    """
 
-        ranked = F.sort_array(F.transform(c["w"], lambda w, i: F.struct((-F.round(score(w), 9)).alias("s"), (-(i + 1)).alias("p"))))
-        return F.sort_array(F.transform(F.slice(ranked, 1, budget(x["n"])), lambda s: -s["p"]))
+    @F.pandas_udf("array<int>")
+    def run(text: pd.Series, query: pd.Series) -> pd.Series:
+        return pd.Series([bm25_lines(t, q, k1, b) if t is not None and q is not None else None for t, q in zip(text, query)], dtype=object)
 
-    words = F.transform(X.lines(F.lower("text")), X.words)
-    return df.withColumn("kept", let(counts, w=words, t=F.array_sort(F.array_distinct(X.words(F.lower("query"))))))
+    return df.withColumn("kept", run(F.lower("text"), F.lower("query")))
 
 
 def islands(kept: Column) -> Column:
@@ -89,3 +100,34 @@ def islands(kept: Column) -> Column:
 
 def kept_lines(text: Column, kept: Column) -> Column:
     return F.transform(kept, lambda i: F.get(X.lines(text), i - 1))
+
+
+def matching_lines(lines: list[str], refs: list[str]) -> list[int]:
+    """Numbers of filled lines that equal, hold or stand in one of ``refs``; white space is squashed on both sides."""
+    flat = {r for x in refs if (r := " ".join(x.split()))}
+    if not flat:
+        return []
+    whole = "\n".join(flat)
+    by_size = sorted(flat, key=len)
+    sizes = [len(r) for r in by_size]
+    seen: dict[str, bool] = {}
+    out = []
+    for i, line in enumerate(lines, 1):
+        x = " ".join(line.split())
+        if not x:
+            continue
+        if (hit := seen.get(x)) is None:
+            hit = seen[x] = x in flat or x in whole or any(r in x for r in by_size[: bisect.bisect_left(sizes, len(x))])
+        if hit:
+            out.append(i)
+    return out
+
+
+def matched(text: Column, refs: Column) -> Column:
+    """Line numbers (array<int>) of a text that match reference lines, by :func:`matching_lines`."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series, sets: pd.Series) -> pd.Series:
+        return pd.Series([matching_lines(t.split("\n"), list(r)) if t is not None and r is not None else None for t, r in zip(texts, sets)], dtype=object)
+
+    return run(text, refs)

@@ -71,13 +71,24 @@ def fuzzy_metrics(spark, sf_dir):
     return M.fuzzy_metrics(examples(spark, sf_dir), "sample_id")
 
 
-@query()
+def _pruned(name: str, rank_sql: str) -> str:
+    return f"""select sample_id, '{name}' as pruner, line_no, line from (select *, row_number() over (partition by sample_id order by {rank_sql}) as rk, count(*) over (partition by sample_id) as n from ({sql.LINES})) where rk <= greatest(1, cast(floor(n * 0.1::double) as integer))"""
+
+
+@query(f"""with {sql.BM25}, {sql.NORMAL}, kp as (select sample_id, 'bm25' as pruner, line_no, line from kept union all {_pruned('first', 'line_no')} union all {_pruned('last', '-line_no')} union all {_pruned('hash', "md5('42|' || sample_id || '|' || line_no), line_no")}),
+pred as (select sample_id, pruner, list(distinct line) as pred from kp where not regexp_full_match(line, '{WS}*') group by sample_id, pruner),
+ref as (select l.sample_id, list(distinct line) as ref from ({sql.LINES}) l join normal n on l.sample_id = n.sample_id and l.line_no between n.start_line and n.end_line where not regexp_full_match(line, '{WS}*') group by l.sample_id),
+ex as (select c.tool_type, u.pruner, coalesce(pred, []) as pred, coalesce(ref, []) as ref from canonical_rows c cross join (values ('bm25'), ('first'), ('last'), ('hash')) as u(pruner) left join pred on pred.sample_id = c.sample_id and pred.pruner = u.pruner left join ref on ref.sample_id = c.sample_id),
+m0 as (select *, len(pred) as na, len(ref) as nb, len(list_intersect(pred, ref))::double as tp from ex),
+m1 as (select *, case when na = 0 and nb = 0 then 1.0::double when na = 0 or nb = 0 then 0.0::double else tp / na end as p, case when na = 0 and nb = 0 then 1.0::double when na = 0 or nb = 0 then 0.0::double else tp / nb end as r from m0)
+select tool_type, pruner, count(*) as n, round(avg(round(p, 4)) + 1e-9, 4) as precision, round(avg(round(r, 4)) + 1e-9, 4) as recall, round(avg(round(case when na = 0 and nb = 0 then 1.0::double when p + r > 0 then 2 * p * r / (p + r) else 0.0::double end, 4)) + 1e-9, 4) as f1,
+round(avg(case when (na = 0 and nb = 0) or (tp = na and tp = nb) then 1.0::double else 0.0::double end) + 1e-9, 4) as exact_match from m1 group by tool_type, pruner""")
 def pruner_comparison(spark, sf_dir):
-    """Mean measures of every registered pruner by tool type."""
+    """Mean measures of every registered pruner by tool type; the small addend makes halves round up in any order of summing."""
     m = M.span_metrics(F.col("pred"), F.col("ref"))
     out = None
     for name in sorted(rank.PRUNERS):
-        got = examples(spark, sf_dir, name).select("tool_type", *(m[k].alias(k) for k in _NAMES)).groupBy("tool_type").agg(F.count("*").alias("n"), *(F.round(F.avg(k), 4).alias(k) for k in _NAMES)).withColumn("pruner", F.lit(name))
+        got = examples(spark, sf_dir, name).select("tool_type", *(m[k].alias(k) for k in _NAMES)).groupBy("tool_type").agg(F.count("*").alias("n"), *(F.round(F.avg(k) + 1e-9, 4).alias(k) for k in _NAMES)).withColumn("pruner", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -144,14 +144,15 @@ refs as (select l.sample_id, list(distinct t) as refs from l join normal n on l.
 select l.sample_id, l.line_no::integer as line_no from l join refs r using (sample_id) where t <> '' and len(list_filter(r.refs, lambda x: x = l.t or contains(x, l.t) or contains(l.t, x))) > 0""")
 def line_match(spark, sf_dir):
     """Lines that equal, hold or stand in one of the row's relevant lines, white space normalised."""
-    rows = table(spark, sf_dir, "canonical_rows").select("sample_id", F.transform(X.lines(F.col("tool_output")), X.squash).alias("lines"), S.normalise(F.col("gold_spans"), S.n_lines(F.col("tool_output"))).alias("spans"))
-    gold = F.flatten(F.transform("spans", lambda s: F.slice("lines", s["start_line"], s["end_line"] - s["start_line"] + 1)))
-    rows = rows.withColumn("refs", F.array_distinct(F.filter(gold, lambda x: x != "")))
-    hits = F.transform("lines", lambda x, i: F.when((x != "") & (F.array_contains("refs", x) | F.exists("refs", lambda r: F.contains(r, x) | F.contains(x, r))), i + 1))
-    return rows.where("size(refs) > 0").select("sample_id", F.explode(F.array_compact(hits)).alias("line_no"))
+    rows = table(spark, sf_dir, "canonical_rows").select("sample_id", "tool_output", S.normalise(F.col("gold_spans"), S.n_lines(F.col("tool_output"))).alias("spans")).where("size(spans) > 0")
+    return rows.select("sample_id", F.explode(rank.matched(F.col("tool_output"), S.extract(F.col("tool_output"), F.col("spans")))).alias("line_no"))
 
 
-@query()
+@query(f"""with recursive l as (select sample_id, line_no, len({sql.words('line')}) as n from ({sql.LINES})), c as (select sample_id, line_no, n, unnest(range(0, ((n + 59) // 60)::bigint)) as part from l where n > 0),
+it as (select sample_id, row_number() over (partition by sample_id order by line_no, part) - 1 as i, least(60, n - part * 60) as size from c), ps as (select *, sum(size + 1) over (partition by sample_id order by i) as s, count(*) over (partition by sample_id) as total from it),
+reach as (select a.sample_id, a.i as head, a.total, greatest(a.i + 1, max(b.i) + 1) as stop from ps a join ps b on a.sample_id = b.sample_id and b.i between a.i and a.i + 120 and b.s - (a.s - a.size - 1) - 1 <= 120 group by a.sample_id, a.i, a.total),
+w as (select sample_id, head, stop, total from reach where head = 0 union all select r.sample_id, r.head, r.stop, r.total from w join reach r on r.sample_id = w.sample_id and r.head = greatest(w.head + 1, w.stop - 2))
+select sample_id, head::integer as first, stop::integer as stop from w""")
 def token_windows(spark, sf_dir):
     """Windows of at most 120 words over the filled lines, two lines of overlap."""
     sizes = F.transform(X.lines(F.col("tool_output")), lambda x: F.size(X.words(x)))
@@ -199,7 +200,7 @@ def document_urls(spark, sf_dir):
     return d.withColumn("host", F.regexp_extract("url", "^https?://([^/:]+)", 1))
 
 
-@query()
+@query(f"with l as ({sql.LINES}), w as (select sample_id, line_no, list_distinct({sql.words('query')}) as q, list_distinct({sql.words('line')}) as ws from l) select sample_id, line_no::integer as line_no, len(list_intersect(q, ws)) / greatest(len(q), 1) as score from w where len(list_intersect(q, ws)) / greatest(len(q), 1) >= 0.5")
 def scored_lines(spark, sf_dir):
     """Lines that hold half of the query's words, by the scorer hook."""
     from ..operators import scoring

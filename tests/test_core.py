@@ -1,13 +1,16 @@
 """Known answers, invariants and differential tests of the core operators."""
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lineloom import runtime
+from lineloom.functions import arrays
 from lineloom.functions import text as X
-from lineloom.operators import audit, calls, dataset, metrics, patches, rank, scoring, sessions, windows
+from lineloom.operators import audit, calls, dataset, gates, metrics, patches, rank, scoring, sessions, windows
 from lineloom.operators import lines as L
 from lineloom.operators import spans as S
 from lineloom.runtime import ranked
@@ -253,3 +256,149 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     obs.write.parquet(f"{tmp_path}/obs")
     log.run(log.prune(log.source(spark, f"{tmp_path}/obs", obs.schema)), f"{tmp_path}/out", f"{tmp_path}/ck2").awaitTermination()
     assert {r.kept_text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {f"needle {i}" for i in range(5)}
+
+
+def test_bm25_equals_the_plain_formula():
+    rng = random.Random(3)
+    for _ in range(50):
+        lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 40))]
+        query = " ".join(rng.choice("abcxyz") for _ in range(3))
+        docs, terms = [x.split() for x in lines], sorted(set(query.split()))
+        n, avg = len(docs), max(sum(map(len, docs)) / len(docs), 1)
+        idf = {t: math.log((n - (d := sum(t in x for x in docs)) + 0.5) / (d + 0.5) + 1) for t in terms}
+        score = [round(sum(idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / avg)) for t in terms if t in x), 9) for x in docs]
+        want = sorted(i + 1 for _, i in sorted(((s, i) for i, s in enumerate(score)), reverse=True)[: max(1, n // 10)])
+        assert rank.bm25_lines("\n".join(lines), query, 1.5, 0.75) == want
+    assert rank.bm25_lines("", "", 1.5, 0.75) == [1]
+
+
+def test_pruners_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "a\nb", None), (3, "", ""), (4, "x\na b\ny", "B a")], "id int, text string, query string")
+    got = {r.id: r.kept for r in rank.bm25(df).collect()}
+    assert got == {1: None, 2: None, 3: [1], 4: [2]} and rank.bm25(df.limit(0)).count() == 0
+
+
+def test_lines_match_either_way():
+    assert rank.matching_lines(["a  b", "x", "", "b", "a b c", "q"], ["a b", " ", "zz"]) == [1, 4, 5]
+    assert rank.matching_lines(["a"], []) == []
+
+
+def test_fuzzy_counts_equal_all_pairs():
+    rng = random.Random(5)
+
+    def plain(pred, ref):
+        pairs = sorted(((metrics.line_overlap(a, b), i, j) for i, a in enumerate(pred) for j, b in enumerate(ref)), reverse=True)
+        used_a, used_b = set(), set()
+        for s, i, j in pairs:
+            if s >= 0.5 and i not in used_a and j not in used_b:
+                used_a.add(i)
+                used_b.add(j)
+        return len(used_a)
+
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 9)))
+    for _ in range(300):
+        a, b = [word() for _ in range(rng.randint(0, 7))], [word() for _ in range(rng.randint(0, 7))]
+        assert metrics.fuzzy_counts(a, b) == plain(a, b)
+
+
+def test_bundle_counts_errors_and_measures_the_rest(spark):
+    rows = [(1, "a\nb", ["a"], ["a"], None), (2, "a\nb", [], ["a"], ""), (3, "a", ["a"], ["a"], "timed out")]
+    got = {r.metric: r for r in metrics.bundle(spark.createDataFrame(rows, "id int, text string, pred array<string>, ref array<string>, error string"), "id").collect()}
+    assert set(got) == set(metrics.MEASURES) and len(got) == 11
+    assert all((r.n, r.n_samples, r.n_errors) == (2, 3, 1) for r in got.values())
+    assert got["recall"].mean == 0.5 and got["fuzzy_f1"].mean == 0.5 and got["compression"].mean == 0.5
+
+
+def enclosing_plain(content, targets):
+    out = set()
+    depth = lambda x: len(x) - len(x.lstrip())
+    for t in targets:
+        level = depth(content[t - 1])
+        for i in range(t - 1, 0, -1):
+            x = content[i - 1]
+            if x.lstrip().startswith(("def ", "class ")) and depth(x) < level:
+                out.add(i)
+                level = depth(x)
+    return out
+
+
+def test_enclosing_definitions_equal_walking_up():
+    rng = random.Random(7)
+    for _ in range(300):
+        content = [" " * rng.choice((0, 0, 2, 4, 6)) + rng.choice(("def f():", "class A:", "x = 1", "", "return")) for _ in range(rng.randint(1, 25))]
+        targets = [i + 1 for i in range(len(content)) if rng.random() < 0.3]
+        assert patches.enclosing(content, targets) == enclosing_plain(content, targets)
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(1, [3, 1, 2]), (2, []), (3, None)], "id int, a array<int>")
+    got = {r.id: r.v for r in df.select("id", arrays.cumulative(F.col("a")).alias("v")).collect()}
+    assert got == {1: [0, 3, 4, 6], 2: [0], 3: [0]}
+    assert df.where("id = 1").select(arrays.first_within(arrays.cumulative(F.col("a")), F.lit(2)).alias("v")).first().v == [0, 0, 0, 2]
+
+
+def test_gates(spark):
+    text = "\n".join(f"line {i}" for i in range(1, 11)) + "\n "
+    rows = [(1, "a long query", text, [3, 1, 3, 99, 11]), (2, "short", text, [1]), (3, "a long query", "a\nb", [1]), (4, "a long query", text, list(range(1, 8))), (5, "a long query", text, [0, 11]), (6, "a long query", None, None)]
+    df = spark.createDataFrame(rows, "id int, query string, tool_output string, picked array<int>")
+    assert [(r.id, r.numbers) for r in gates.generated(df, F.col("picked")).collect()] == [(1, [1, 3])]
+    spans = spark.createDataFrame([(1, "swe", [(1, 1)]), (2, "swe", []), (3, "synthetic_negative", None), (4, None, None)], f"id int, source string, gold_spans {SPANS}")
+    assert {r.id for r in gates.with_evidence(spans).collect()} == {1, 3}
+    d = spark.createDataFrame([(1, "a\nb\nc\nd", [(2, 2)]), (2, "a\nb", [(1, 1)]), (3, "a\n \nc", [(2, 2)]), (4, "a", None)], f"id int, tool_output string, gold_spans {SPANS}")
+    assert {r.id: (r.distilled_lines, r.kept_lines) for r in gates.distilled(d).collect()} == {1: (3, 1), 2: (2, 1), 3: (3, 1)}
+
+
+def test_unknown_tools_raise(spark):
+    configs = spark.createDataFrame([("grep",), ("ls",)], "tool_type string")
+    assert gates.pick_tools(configs, []).count() == 2 and gates.pick_tools(configs, ["ls"]).count() == 1
+    with pytest.raises(ValueError, match="nope"):
+        gates.pick_tools(configs, ["ls", "nope"])
+
+
+def test_review_filters_and_orders(spark):
+    rows = [(1, 0.2, 0.0, 0.9, "true_positive", ["r"], None, "Find IT"), (2, None, 1.0, None, "false_negative", [], "boom", None)]
+    df = spark.createDataFrame(rows, "id int, f1 double, exact_match double, fuzzy_f1 double, category string, ref array<string>, error string, task string")
+    got = {k: [r.id for r in df.where(v).orderBy("id").collect()] for k, v in gates.review_modes().items()}
+    assert got == {"all": [1, 2], "errors": [2], "bad_exact": [1], "bad_fuzzy": [2], "false_negative": [2], "false_positive": [], "empty_gold": [2], "nonempty_gold": [1]}
+    assert [r.id for r in df.orderBy(*gates.review_order("lowest_f1", "id")).collect()] == [2, 1] and [r.id for r in df.orderBy(*gates.review_order("highest_f1", "id")).collect()] == [1, 2]
+    wide = df.withColumns({c: F.lit(None).cast("string") for c in ("tool_output", "prompt")}).withColumn("pred", F.array(F.lit("x")))
+    assert [r.id for r in wide.where(gates.review_search("find it")).collect()] == [1] and wide.where(gates.review_search("BOOM")).count() == 1
+
+
+def test_extract_many_keeps_rows_of_one_id_apart(spark):
+    df = spark.createDataFrame([(1, "find me\nno", "find"), (1, "other\nfind", "find"), (2, None, None)], "id int, text string, query string")
+    assert sorted(map(tuple, scoring.extract_many(df).collect())) == [(1, "find"), (1, "find me"), (2, "")]
+
+
+def test_read_targets_and_source_plan(spark):
+    patch = lambda *fs: "\n".join(f"diff --git a/{f} b/{f}\n--- a/{f}\n+++ b/{f}" for f in fs)
+    instances = spark.createDataFrame([("i1", patch("a/x.py", "b/y.py")), ("i2", ""), ("i3", patch("a/x.py")), ("i4", None)], "instance_id string, patch string")
+    files = spark.createDataFrame([("i1", f) for f in ("a/x.py", "c/z.py", *(f"a/s{k}.py" for k in range(9)))] + [("i2", "q.py")], "instance_id string, file string")
+    got = {r.instance_id: (r.target, r.is_patch_file) for r in calls.read_targets(instances, files).collect()}
+    assert got["i2"] == ("q.py", False) and got["i3"] == ("a/x.py", True) and "i4" not in got
+    assert got["i1"][0] in {"a/x.py", "b/y.py"} if got["i1"][1] else got["i1"][0].startswith("a/s")
+    plan = {(r.file, r.kind) for r in calls.source_plan(instances, files).where("instance_id = 'i1'").collect()}
+    assert plan == {("a/x.py", "patch"), ("b/y.py", "patch"), *((f"a/s{k}.py", "sibling") for k in range(6))}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, named = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.named
+
+        def setCheckpointDir(self, path):
+            self.named = path
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert runtime.checkpoint_dir(Session()) == Session.sparkContext.named
