@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..runtime import ranked, stable
+from ..runtime import head_by_hash, ranked, stable
 from . import spans as S
 
 #: Fixed value: the instruction of prompts.
@@ -163,8 +163,9 @@ def negatives(rows: DataFrame, ratio: float = 0.15, seed: int = 42) -> DataFrame
     """
     total = rows.count()
     n = max(1, int(total * ratio)) if total > 1 else 0
-    outputs = ranked(rows.select(F.col("sample_id").alias("output_id"), F.col("tool_type").alias("output_tool")), order_key(seed, F.col("output_id")), F.col("output_id"), name="k").where(F.col("k") < n)
-    asks = ranked(rows.select(F.col("sample_id").alias("query_id"), F.col("tool_type").alias("query_tool"), "query"), order_key(seed + 1, F.col("query_id")), F.col("query_id"), name="k").where(F.col("k") < n + 10)
+    first = lambda seed_, most: ranked(head_by_hash(rows.withColumn("_h", order_key(seed_, F.col("sample_id"))), "_h", most), F.col("_h"), F.col("sample_id"), name="k").where(F.col("k") < most)
+    outputs = first(seed, n).select("k", F.col("sample_id").alias("output_id"), F.col("tool_type").alias("output_tool"))
+    asks = first(seed + 1, n + 10).select("k", F.col("sample_id").alias("query_id"), F.col("tool_type").alias("query_tool"), "query")
     tried = outputs.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("q", F.col("k") + F.col("try"))
     met = tried.join(asks.withColumnRenamed("k", "q"), "q").where("query_tool <> output_tool and query_id <> output_id")
     return met.groupBy("output_id", "output_tool").agg(F.min_by(F.struct("query_id", "query_tool", "query"), "try").alias("r")).select("output_id", "output_tool", "r.*")

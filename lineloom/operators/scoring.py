@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions.arrays import cumulative
+from ..runtime import ranked
 from .dataset import order_key
 
 Scorer = Callable[[str, list[str]], list[float]]
@@ -112,6 +112,20 @@ def balanced(windows: DataFrame, share: float = 0.5, seed: int = 42) -> DataFram
     if last is None:
         kept = hashed
     else:
-        edge = hashed.where(F.col("_s") == last).withColumn("_r", F.row_number().over(W.orderBy("_h", "key"))).where(F.col("_r") <= left).drop("_r")
+        edge = ranked(hashed.where(F.col("_s") == last), F.col("_h"), F.col("key"), name="_r").where(F.col("_r") < left).drop("_r")
         kept = hashed.where(F.col("_s") < last).unionByName(edge)
     return windows.where("positive").unionByName(kept.drop("_h", "_s"))
+
+
+def segments(tokens: Column, separator: int) -> Column:
+    """Segment of each token: how many separators stand up to it. A separator opens its segment."""
+    return F.slice(cumulative(F.transform(tokens, lambda t: (t == separator).cast("int"))), F.lit(2), F.size(tokens))
+
+
+def pooled_segments(df: DataFrame, separator: int) -> DataFrame:
+    """id, segment, best and mean of the scores of a segment's tokens, separators left out.
+
+    df: id, tokens (array<int>), scores (array<double>, one a token); segments without a token have no row.
+    """
+    flat = df.select("id", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("scores").alias("score"), segments(F.col("tokens"), separator).alias("segment")))).toDF("id", "token", "score", "segment")
+    return flat.where(F.col("token") != separator).groupBy("id", "segment").agg(F.max("score").alias("best"), F.avg("score").alias("mean"))

@@ -275,3 +275,14 @@ def fallback_queries(spark, sf_dir):
 def flagged_rows(spark, sf_dir):
     a = A.audit(table(spark, sf_dir, "canonical_rows"))
     return a.where("status = 'fail'").select("sample_id", "tool_type", F.array_join("issues", ",").alias("issues"))
+
+
+@query(f"with l as ({sql.LINES}), w as (select sample_id, line_no, unnest({sql.words('line')}) as w from l) select sample_id, (line_no - 1)::bigint as segment, max(length(w))::double as best, round(avg(length(w)) + 1e-9, 4) as mean from w group by sample_id, line_no")
+def segment_pool(spark, sf_dir):
+    """Word lengths as scores of tokens, lines set apart by separators, pooled back to lines."""
+    from ..operators import scoring
+
+    sizes = F.flatten(F.transform(X.lines(F.col("tool_output")), lambda x, i: F.concat(F.when(i > 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.transform(X.words(x), F.length))))
+    rows = table(spark, sf_dir, "canonical_rows").select(F.col("sample_id").alias("id"), sizes.alias("tokens"))
+    got = scoring.pooled_segments(rows.withColumn("scores", F.transform("tokens", lambda t: t.cast("double"))), -1)
+    return got.select(F.col("id").alias("sample_id"), "segment", "best", F.round(F.col("mean") + 1e-9, 4).alias("mean"))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
-    """One object a line; blank lines are skipped, a malformed line raises if ``strict``, else its fields are null."""
+def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True, blanks: bool = True) -> DataFrame:
+    """One object a line; a malformed line raises if ``strict``, else its fields are null. Blank lines are skipped; without
+    ``blanks`` they raise."""
+    if not blanks and spark.read.text(path).where(F.trim("value") == "").take(1):
+        raise ValueError(f"blank line in {path}")
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 

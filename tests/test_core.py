@@ -402,3 +402,37 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
         runtime.checkpoint_dir(Session())
     Session.sparkContext.master = "local[2]"
     assert runtime.checkpoint_dir(Session()) == Session.sparkContext.named
+
+
+def test_head_by_hash_has_the_first_rows(spark):
+    df = spark.range(5000).withColumn("h", F.md5(F.col("id").cast("string")))
+    want = {r.id for r in df.orderBy("h").limit(300).collect()}
+    got = {r.id for r in runtime.head_by_hash(df, "h", 300).collect()}
+    assert want <= got and len(got) < 320 and runtime.head_by_hash(df, "h", 9999).count() == 5000
+
+
+def test_segments_and_their_pools(spark):
+    df = spark.createDataFrame([(1, [7, 8, -1, 9, -1, -1, 5], [0.1, 0.4, 9.0, 0.2, 9.0, 9.0, 0.3]), (2, [], []), (3, None, None)], "id int, tokens array<int>, scores array<double>")
+    got = {(r.id, r.segment): (r.best, r.mean) for r in scoring.pooled_segments(df, -1).collect()}
+    assert got == {(1, 0): (0.4, 0.25), (1, 1): (0.2, 0.2), (1, 3): (0.3, 0.3)}
+
+
+def test_blank_lines_raise_where_they_must(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1}\n\n{"x": 2}\n')
+    path = str(tmp_path / "a.json")
+    assert sorted(r.x for r in T.read_jsonl(spark, path, "x int").collect()) == [1, 2]
+    with pytest.raises(ValueError, match="blank"):
+        T.read_jsonl(spark, path, "x int", blanks=False)
+
+
+def test_command_line(spark, tmp_path, capsys, sf):
+    from lineloom import __main__ as cli
+
+    a = cli.parse(["why it fails", "log.txt"])
+    assert (a.command, a.query, a.file, a.pruner) == ("extract", "why it fails", "log.txt", "bm25")
+    assert cli.parse(["run", "first_n", "in", "out"]).name == "first_n"
+    assert cli.extract(spark, "needle", "hay\nneedle here\nhay") == "needle here"
+    (tmp_path / "t.txt").write_text("one\ntwo needle")
+    assert cli.main(["extract", "needle", str(tmp_path / "t.txt")]) == 0 and capsys.readouterr().out == "two needle\n"
+    assert cli.main(["run", "all_any", sf, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert cli.main(["run", "nothing", sf, str(tmp_path / "x")]) == 2
