@@ -91,3 +91,23 @@ def review_search(text: str) -> Column:
     """Case-insensitive search in task, output, prompt, predicted and reference lines, and error."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("task", "tool_output", "prompt")] + [F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "\n") for c in ("pred", "ref")] + [F.coalesce("error", F.lit(""))]
     return F.lower(F.concat_ws("\n", *parts)).contains(text.lower())
+
+
+#: Tools a dataset is expected to have, mean compression under which it is warned of, least evaluation rows, longest prompt.
+EXPECTED = ("read_file", "grep", "git_log", "test_output", "git_diff")
+LEAST_RATIO, LEAST_EVAL, LONGEST_PROMPT = 0.5, 10, 50_000
+
+
+def warnings(chat: DataFrame) -> DataFrame:
+    """warning, value of a dataset of chat rows (prompt, response, compression_ratio, tool_type, is_eval); no row if all is well."""
+    got = chat.agg(
+        F.count("*").cast("double").alias("n"), F.avg("compression_ratio").alias("ratio"), F.count_if(F.col("is_eval")).cast("double").alias("n_eval"), F.count_if(F.length("prompt") > LONGEST_PROMPT).cast("double").alias("long"),
+        F.count_if(X.is_blank(F.col("response"))).cast("double").alias("empty"), F.size(F.array_except(F.array(*map(F.lit, EXPECTED)), F.collect_set("tool_type"))).cast("double").alias("missing"),
+    )
+    warn = lambda name, when, value: F.when(when, F.struct(F.lit(name).alias("warning"), value.alias("value")))
+    some = F.col("n") > 0
+    all_ = F.array(
+        warn("no_samples", ~some, F.col("n")), warn("mean_ratio_low", some & (F.col("ratio") < LEAST_RATIO), F.round("ratio", 4)), warn("missing_tools", some & (F.col("missing") > 0), F.col("missing")),
+        warn("few_eval_samples", some & (F.col("n_eval") < LEAST_EVAL), F.col("n_eval")), warn("long_prompts", F.col("long") > 0, F.col("long")), warn("empty_responses", F.col("empty") > 0, F.col("empty")),
+    )
+    return got.select(F.inline(F.array_compact(all_)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import cumulative
 from ..runtime import ranked
 from .dataset import order_key
+from .windows import greedy
 
 Scorer = Callable[[str, list[str]], list[float]]
 
@@ -129,3 +131,63 @@ def pooled_segments(df: DataFrame, separator: int) -> DataFrame:
     """
     flat = df.select("id", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("scores").alias("score"), segments(F.col("tokens"), separator).alias("segment")))).toDF("id", "token", "score", "segment")
     return flat.where(F.col("token") != separator).groupBy("id", "segment").agg(F.max("score").alias("best"), F.avg("score").alias("mean"))
+
+
+#: (query, text) -> half-open spans of code points.
+Highlighter = Callable[[str, str], list[tuple[int, int]]]
+
+
+def word_highlighter() -> Highlighter:
+    """The highlighter without a model: the first place of each of the query's words, in any case."""
+
+    def find(query: str, text: str) -> list[tuple[int, int]]:
+        low = text.lower()
+        at = [(low.find(w), len(w)) for w in set(query.lower().split())]
+        return [(a, a + n) for a, n in at if a >= 0]
+
+    return find
+
+
+def highlighted(df: DataFrame, factory: Callable[[], Highlighter] = word_highlighter) -> DataFrame:
+    """id, line_no, line: filled lines that a span of a highlighter touches. Observations: id, text, query; null counts as empty.
+
+    A span touches a line unless it ends at or before the line's start or begins at or after its end.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = factory()
+        for pdf in batches:
+            out = []
+            for i, query, text in zip(pdf.id, pdf["query"], pdf.text):
+                lines = (text or "").split("\n")
+                stops = np.cumsum([len(x) + 1 for x in lines]) - 1
+                starts = np.append(0, stops[:-1] + 1)
+                kept = np.zeros(len(lines), bool)
+                for a, b in find(query or "", text or ""):
+                    kept |= (starts < b) & (stops > a)
+                out += [(i, k + 1, lines[k]) for k in np.flatnonzero(kept) if lines[k].strip()]
+            yield pd.DataFrame(out, columns=["id", "line_no", "line"])
+
+    return df.select("id", "text", "query").mapInPandas(run, f"id {dict(df.dtypes)['id']}, line_no int, line string")
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits; the largest is taken off first, so none overflows."""
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def line_examples(df: DataFrame, cls: int, sep: int, line_sep: int, most: int, budget: int) -> DataFrame:
+    """Training examples of observations: id, window (from 0), input_ids, attention, line_labels.
+
+    df: id, task (array<int>), lines (array<array<int>>, token ids of each line), labels (array<int>, one a line). Lines go
+    into greedy windows of ``budget`` tokens; windows of empty lines only are left out.
+    """
+    wins = greedy(F.transform("lines", F.size), budget)
+    rows = df.withColumn("_w", wins).select("id", "task", "lines", "labels", F.posexplode("_w").alias("window", "_w"))
+    part = lambda c: F.slice(c, F.col("_w.first") + 1, F.col("_w.stop") - F.col("_w.first"))
+    rows = rows.withColumns({"_lines": part("lines"), "line_labels": part("labels")}).where(F.exists("_lines", lambda x: F.size(x) > 0))
+    rows = rows.withColumn("input_ids", model_input(F.col("task"), F.col("_lines"), cls, sep, line_sep, most))
+    return rows.select("id", "window", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention"), "line_labels")

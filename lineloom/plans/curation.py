@@ -286,3 +286,39 @@ def segment_pool(spark, sf_dir):
     rows = table(spark, sf_dir, "canonical_rows").select(F.col("sample_id").alias("id"), sizes.alias("tokens"))
     got = scoring.pooled_segments(rows.withColumn("scores", F.transform("tokens", lambda t: t.cast("double"))), -1)
     return got.select(F.col("id").alias("sample_id"), "segment", "best", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
+
+
+@query(f"""with {_REL}, k as (select sample_id, length({_TEXT} || {_USER} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) as size, round(1 - coalesce(n_rel, 0) / len(string_split(tool_output, chr(10))), 4) as ratio, split_name = 'test' as is_eval, tool_type from canonical_rows left join rel using (sample_id) where query <> '' and tool_output <> '' and split_name in ('train', 'test')),
+a as (select count(*)::double as n, avg(ratio) as ratio, (count(*) filter (where is_eval))::double as n_eval, (count(*) filter (where size > 50000))::double as long, (select count(*) from (values ('read_file'), ('grep'), ('git_log'), ('test_output'), ('git_diff')) as t(x) where x not in (select tool_type from k))::double as missing from k)
+select 'no_samples' as warning, n as value from a where n = 0 union all select 'mean_ratio_low', round(ratio, 4) from a where n > 0 and ratio < 0.5 union all select 'missing_tools', missing from a where n > 0 and missing > 0 union all select 'few_eval_samples', n_eval from a where n > 0 and n_eval < 10 union all select 'long_prompts', long from a where long > 0""")
+def validation_warnings(spark, sf_dir):
+    """What a validation of train and test warns of."""
+    rows = D.canonical(table(spark, sf_dir, "canonical_rows")).where("split_name in ('train', 'test')")
+    chat = D.sft(rows).join(rows.select("sample_id", (F.col("split_name") == "test").alias("is_eval")), "sample_id")
+    return G.warnings(chat)
+
+
+@query(r"""select call_seq, target_file, string_split(target_file, '/')[-1] as name, case when regexp_matches(string_split(target_file, '/')[-1], '.\.[^.]*$') then regexp_extract(string_split(target_file, '/')[-1], '^(.+)\.[^.]*$', 1) else string_split(target_file, '/')[-1] end as stem,
+case when contains(target_file, '/') then regexp_replace(target_file, '/[^/]*$', '') else '.' end as folder, replace(regexp_replace(target_file, '\.py$', ''), '/', '.') as module from tool_calls where target_file is not null""")
+def path_parts(spark, sf_dir):
+    f = F.col("target_file")
+    return table(spark, sf_dir, "tool_calls").where("target_file is not null").select("call_seq", "target_file", X.basename(f).alias("name"), X.stem(f).alias("stem"), X.parent(f).alias("folder"), X.module_of(f).alias("module"))
+
+
+@query(f"""with w as (select distinct sample_id, tool_output, unnest({sql.words('query')}) as w from canonical_rows), p as (select *, instr(lower(tool_output), w) as pos from w where contains(lower(tool_output), w)),
+n as (select distinct sample_id, len(string_split(left(tool_output, pos - 1), chr(10))) as line_no, tool_output from p) select sample_id, line_no::integer as line_no, md5(string_split(tool_output, chr(10))[line_no]) as line from n""")
+def span_hook(spark, sf_dir):
+    """Lines that the highlighter hook's spans touch."""
+    from ..operators import scoring
+
+    rows = table(spark, sf_dir, "canonical_rows").select(F.col("sample_id").alias("id"), F.col("tool_output").alias("text"), "query")
+    return scoring.highlighted(rows).select(F.col("id").alias("sample_id"), "line_no", F.md5("line").alias("line"))
+
+
+@query("with s as (select sample_id, [ln(length(tool_output) + 1.0::double), ln(length(query) + 1.0::double), len(gold_spans)::double] as x from canonical_rows), e as (select sample_id, list_transform(x, lambda v: exp(v - list_max(x))) as p from s) select sample_id, round(p[1] / list_sum(p), 6) as p_output, round(p[2] / list_sum(p), 6) as p_query, round(p[3] / list_sum(p), 6) as p_spans from e")
+def softmax_shares(spark, sf_dir):
+    from ..operators import scoring
+
+    x = F.array(F.ln(F.length("tool_output") + F.lit(1.0)), F.ln(F.length("query") + F.lit(1.0)), F.size("gold_spans").cast("double"))
+    rows = table(spark, sf_dir, "canonical_rows").select("sample_id", scoring.softmax(x).alias("p"))
+    return rows.select("sample_id", *(F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p_output", "p_query", "p_spans"))))

@@ -436,3 +436,33 @@ def test_command_line(spark, tmp_path, capsys, sf):
     assert cli.main(["extract", "needle", str(tmp_path / "t.txt")]) == 0 and capsys.readouterr().out == "two needle\n"
     assert cli.main(["run", "all_any", sf, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert cli.main(["run", "nothing", sf, str(tmp_path / "x")]) == 2
+
+
+def test_line_examples_leave_empty_windows_out(spark):
+    df = spark.createDataFrame([(1, [5], [[10, 11], [], [12], [], []], [1, 0, 0, 0, 0]), (2, [5], [[], []], [0, 0]), (3, [5], [], [])], "id int, task array<int>, lines array<array<int>>, labels array<int>")
+    got = {(r.id, r.window): (r.input_ids, r.attention, r.line_labels) for r in scoring.line_examples(df, 1, 2, 3, 9, 4).collect()}
+    assert all(k[0] == 1 for k in got)
+    ids, mask, labels = got[1, 0]
+    assert ids[:4] == [1, 5, 2, 10] and len(ids) <= 9 and mask == [1] * len(ids) and labels[0] == 1
+    assert all(any(t in r[0] for t in (10, 11, 12)) for r in got.values())
+
+
+def test_highlighter_spans_touch_lines(spark):
+    df = spark.createDataFrame([(1, "ab\n\ncd ef\ngh", "x"), (2, None, None)], "id int, text string, query string")
+    hook = lambda spans: lambda: lambda q, t: spans
+    lines = lambda *spans: [r.line_no for r in scoring.highlighted(df.where("id = 1"), hook(list(spans))).orderBy("line_no").collect()]
+    assert lines((0, 1)) == [1] and lines((2, 4)) == [] and lines((1, 5)) == [1, 3] and lines((9, 12)) == [4] and lines((3, 3)) == []
+    assert scoring.highlighted(df).count() == 0
+
+
+def test_warnings_of_a_dataset(spark):
+    schema = "prompt string, response string, compression_ratio double, tool_type string, is_eval boolean"
+    got = lambda rows: {r.warning: r.value for r in gates.warnings(spark.createDataFrame(rows, schema)).collect()}
+    assert got([]) == {"no_samples": 0.0}
+    assert got([("p" * 50_001, " ", 0.2, "grep", True)]) == {"mean_ratio_low": 0.2, "missing_tools": 4.0, "few_eval_samples": 1.0, "long_prompts": 1.0, "empty_responses": 1.0}
+    assert got([("p", "r", 0.9, t, True) for t in gates.EXPECTED for _ in range(2)]) == {}
+
+
+def test_softmax_does_not_overflow(spark):
+    got = one(spark, scoring.softmax(F.array(F.lit(1000.0), F.lit(1000.0), F.lit(0.0))))
+    assert got == [0.5, 0.5, 0.0]
