@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stable
+from ..runtime import small_enough, stable
 
 #: A new component of at least this share of all rows is placed by size; there are at most its inverse of these.
 LARGE = 0.002
@@ -47,6 +47,11 @@ def record_keys(source: Column, instance_id: Column, origin: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(own, F.when(made(origin), id_key(origin)).otherwise(repo_key(origin)))))
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it is small, so that a hot key of the other side meets no shuffle; else left to the join."""
+    return F.broadcast(df) if small_enough(df) else df
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph: links (a, b) of nodes, all of them in ``nodes`` (node)."""
     parent = stable(nodes.select("node", F.col("node").alias("root")))
@@ -57,11 +62,12 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         parent = parent.join(hook, "node", "left").select("node", F.coalesce("to", "root").alias("root"))
         parent = stable(parent)
         while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = stable(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            parent = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
+            # nodes that others point to and that are no roots; few after a round or two, even in a giant component
+            below = parent.where("node <> root")
+            up = stable(below.join(below.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("root"), F.col("root").alias("above")))
+            if not up.take(1):
                 break
+            parent = stable(parent.join(_side(up), "root", "left").select("node", F.coalesce("above", "root").alias("root")))
         root = parent.withColumnRenamed("root", "r")
         open_ = open_.join(root.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
         open_ = stable(open_.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
@@ -100,7 +106,7 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     links = rows.where("size(keys) > 1").select(node(first).alias("a"), F.explode(F.slice("keys", 2, 1 << 30)).alias("k")).select("a", node("k").alias("b")).distinct()
     links = links.union(old.select(F.col("node").alias("a"), F.col("component").alias("b")))
     root = stable(components(links, nodes))
-    of = stable(rows.select("id", "was", node(first).alias("node")).join(root, "node").select("id", "was", F.col("root").alias("component")))
+    of = stable(rows.select("id", "was", node(first).alias("node")).join(_side(root), "node").select("id", "was", F.col("root").alias("component")))
     # votes for the split a component has: earlier components by their rows, records by their earlier split
     earlier = old.groupBy("component", "split").agg(F.max("n_rows").alias("n")).join(root.withColumnRenamed("node", "component").withColumnRenamed("root", "r"), "component").select(F.col("r").alias("component"), "split", "n", F.lit(1).alias("held"), F.col("component").alias("own"))
     cast = of.where("was is not null").groupBy("component", F.col("was").alias("split")).agg(F.count("*").alias("n")).withColumns({"held": F.lit(0), "own": F.col("component")})
@@ -134,7 +140,7 @@ def update(records: DataFrame, targets: list[tuple[str, float]], state: DataFram
     # records of components that are held apart: those with keys of one old component only stay with it
     mine = rows.select("id", F.explode("keys").alias("key"), F.size("keys").alias("all")).join(old.select("key", F.col("component").alias("old"), F.col("split").alias("old_split")), "key")
     mine = mine.groupBy("id").agg(F.count("*").alias("n"), F.first("all").alias("all"), F.min("old").alias("old"), F.max("old").alias("high"), F.first("old_split").alias("old_split")).where("n = all and old = high").select("id", "old", "old_split")
-    placed = of.join(comps, "component").join(mine, "id", "left")
+    placed = of.join(_side(comps), "component").join(mine, "id", "left")
     alone = F.col("apart") & F.col("old").isNotNull()
     split = F.when(alone, F.col("old_split")).otherwise(F.col("split"))
     assigned = placed.select(
