@@ -37,7 +37,7 @@ from ..runtime import stable
 
 SAMPLE_ROWS = 8_000
 SAMPLE_LINES = 8
-#: One of so many inner lines is scored to calibrate.
+#: One of so many examples of inner lines is used to calibrate.
 CALIBRATE = 4
 DIM = 1 << 18
 EPOCHS = 6
@@ -191,63 +191,41 @@ def calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return best[1:]
 
 
-def fit_ending(lines: pd.DataFrame, seed: int = 7) -> EndingModel:
-    """lines: row, tool, line, is_last. Inner and last lines are whole; inner ones are also cut to make the other class."""
-    rng = np.random.default_rng(seed + 1)
-    half = lines.row.to_numpy() % 2 if len(lines) else np.zeros(0, int)
-    z, y, weight, last = [], [], [], np.full(len(lines), -np.inf)
-    for part in (0, 1):
-        model = _fit(lines[half != part], seed)
-        for at in np.flatnonzero(half == part):
-            r = lines.iloc[at]
-            if not r.is_last and at % CALIBRATE:
-                continue
-            score = model.score(r.tool, r.line)
-            if r.is_last:
-                last[at] = score
-            cut = None if r.is_last else cut_example(r.line, rng)
-            z += [score] if cut is None else [score, model.score(r.tool, cut)]
-            y += [0] if cut is None else [0, 1]
-    z, y = np.array(z), np.array(y, float)
-    scale, offset = 1.0, 0.0
-    if len(z) >= 50 and 0 < y.sum() < len(y):
-        scale, offset = calibration(z, y, np.where(y == 1, (len(y) - y.sum()) / y.sum(), 1.0))
-    model = _fit(lines[scale * last + offset <= 0], seed)
-    model.scale, model.offset = scale, offset
-    return model
+def examples(lines: pd.DataFrame, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
+    """(features, stopped, weight, row, is a last line, known words) of whole lines and of inner ones cut to make the other class.
 
-
-def _fit(lines: pd.DataFrame, seed: int) -> EndingModel:
-    rng = np.random.default_rng(seed)
+    A word counts as known only by its other occurrences, and by none at the end of a last line.
+    """
     known = Counter()
     for line, is_last in zip(lines.line, lines.is_last):
         words = [w.lower() for w in _RUNS.findall(line)]
         known.update(words[:-1] if is_last else words)
-    examples: list[tuple[str, str, int, float]] = []
-    for tool, line, is_last in zip(lines.tool, lines.line, lines.is_last):
-        examples.append((tool, line, 0, 2.0 if is_last else 1.0))
+    x, y, weight, row, last = [], [], [], [], []
+
+    def add(features: list[int], kind: int, w: float, r: int, is_last: bool) -> None:
+        x.append(np.array(features, np.int32))
+        for a, v in ((y, kind), (weight, w), (row, r), (last, is_last)):
+            a.append(v)
+
+    for r, tool, line, is_last in zip(lines.row, lines.tool, lines.line, lines.is_last):
+        own = _TOKEN.findall(line)
+        w = own[-1].lower() if own and own[-1][:1].isalpha() else ""
+        held = not is_last and w in known
+        if held:
+            known[w] -= 1
+        add(line_features(tool, line, known), 0, 2.0 if is_last else 1.0, r, is_last)
+        if held:
+            known[w] += 1
         if not is_last:
             for _ in range(1 + (len(line) > 60)):
                 if (c := cut_example(line, rng)) is not None:
-                    examples.append((tool, c, 1, 1.0))
-    if not examples:
-        return EndingModel(np.zeros(DIM, np.float32), 0.0, {})
-    known_held = Counter(known)
-    x = None
-    for at, (tool, line, y, _) in enumerate(examples):  # a word counts as known only by its other occurrences
-        own = _TOKEN.findall(line)
-        w = own[-1].lower() if own and own[-1][:1].isalpha() else ""
-        if not y and w in known_held:
-            known_held[w] -= 1
-            f = line_features(tool, line, known_held)
-            known_held[w] += 1
-        else:
-            f = line_features(tool, line, known_held)
-        if x is None:
-            x = np.empty((len(examples), len(f)), np.int32)
-        x[at] = f
-    y = np.array([e[2] for e in examples], np.float32)
-    wt = np.array([e[3] for e in examples], np.float32)
+                    add(line_features(tool, c, known), 1, 1.0, r, False)
+    return np.array(x), np.array(y, np.float32), np.array(weight, np.float32), np.array(row, np.int64), np.array(last, bool), dict(known)
+
+
+def descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic model over hashed features, by adaptive gradient steps."""
+    wt = weight.copy()
     wt[y == 1] *= wt[y == 0].sum() / max(1.0, wt[y == 1].sum())
     w, g2, bias = np.zeros(DIM, np.float32), np.full(DIM, 1e-2, np.float32), 0.0
     order = np.arange(len(y))
@@ -263,7 +241,27 @@ def _fit(lines: pd.DataFrame, seed: int) -> EndingModel:
             np.add.at(g2, ids, gs * gs)
             np.add.at(w, ids, -0.12 * gs / np.sqrt(g2[ids]))
             bias -= 0.01 * float(g.mean())
-    return EndingModel(w, bias, {k: min(v, 6) for k, v in known.items()})
+    return w, bias
+
+
+def fit_ending(lines: pd.DataFrame, seed: int = 7) -> EndingModel:
+    """lines: row, tool, line, is_last. Features are made once; the models of the halves and the final one share them."""
+    rng = np.random.default_rng(seed)
+    x, y, weight, row, last, known = examples(lines, rng)
+    if not len(y):
+        return EndingModel(np.zeros(DIM, np.float32), 0.0, {})
+    z = np.zeros(len(y))
+    for part in (0, 1):
+        there = row % 2 == part
+        w, bias = descend(x[~there], y[~there], weight[~there], rng)
+        z[there] = w[x[there]].sum(axis=1) + bias
+    scale, offset = 1.0, 0.0
+    some = np.flatnonzero(last | (np.arange(len(y)) % CALIBRATE == 0))
+    if len(some) >= 50 and 0 < y[some].sum() < len(some):
+        scale, offset = calibration(z[some], y[some], np.where(y[some] == 1, (len(some) - y[some].sum()) / y[some].sum(), 1.0))
+    keep = ~(last & (scale * z + offset > 0))
+    w, bias = descend(x[keep], y[keep], weight[keep], rng)
+    return EndingModel(w, bias, {k: min(v, 6) for k, v in known.items()}, scale, offset)
 
 
 def _base(text: Column) -> Column:
