@@ -55,16 +55,20 @@ def duplicates(lines: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def check_lines(query: Column, text: Column, lines: Column) -> dict[str, Column]:
-    """issues (array of codes), n_output_lines (filled ones), n_relevant_lines, duplicate_count of lines chosen from a text."""
+def check_lines(query: Column, text: Column, lines: Column, placed: bool = True) -> dict[str, Column]:
+    """issues (array of codes), n_output_lines (filled ones), n_relevant_lines, duplicate_count of lines chosen from a text.
+
+    Without ``placed`` it is not checked that the lines are in the text, in order.
+    """
     filled = F.size(F.filter(X.lines(text), lambda x: ~X.is_blank(x)))
-    rel, dup, missing = F.size(lines), duplicates(lines), F.size(missing_lines(text, lines))
+    rel, dup = F.size(lines), duplicates(lines)
     issue = lambda when, code: F.when(when, F.lit(code))
+    missing = F.size(missing_lines(text, lines))
+    there = [issue(missing > 0, "relevant_lines_missing"), issue((missing == 0) & ~in_order(text, lines), "relevant_lines_out_of_order")] if placed else []
     issues = F.array(
         issue(F.length(F.coalesce(query, F.lit(""))) < 10, "task_too_short"),
         issue(F.length(F.coalesce(text, F.lit(""))) < 20, "tool_output_too_short"),
-        issue(missing > 0, "relevant_lines_missing"),
-        issue((missing == 0) & ~in_order(text, lines), "relevant_lines_out_of_order"),
+        *there,
         issue(dup > 0, "duplicate_relevant_lines"),
         issue((filled > 0) & (rel > 0) & (rel / F.greatest(filled, F.lit(1)) > 0.5), "high_relevant_ratio"),
     )
@@ -79,9 +83,9 @@ def audit(df: DataFrame) -> DataFrame:
     """
     rows = df.withColumn("_normal", S.normalise(F.col("gold_spans"), S.n_lines(F.col("tool_output"))))
     rows = rows.withColumn("_lines", S.extract(F.col("tool_output"), F.col("_normal")))
-    got = check_lines(F.col("query"), F.col("tool_output"), F.col("_lines"))
+    got = check_lines(F.col("query"), F.col("tool_output"), F.col("_lines"), placed=False)
     odd = (F.to_json("_normal") != F.to_json("gold_spans")) & (F.size("gold_spans") > 0)
-    issues = F.concat(F.when(odd, F.array(F.lit("gold_spans_not_normalized"))).otherwise(F.array().cast("array<string>")), F.filter(got["issues"], lambda x: ~x.isin("relevant_lines_missing", "relevant_lines_out_of_order")))
+    issues = F.concat(F.when(odd, F.array(F.lit("gold_spans_not_normalized"))).otherwise(F.array().cast("array<string>")), got["issues"])
     rows = rows.withColumns({"issues": issues, **{k: v for k, v in got.items() if k != "issues"}})
     return rows.select("sample_id", "tool_type", F.when(F.size("issues") == 0, "pass").otherwise("fail").alias("status"), "issues", "n_output_lines", "n_relevant_lines", "duplicate_count")
 
