@@ -148,3 +148,16 @@ def test_components_of_a_long_chain_and_a_star(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 50), *range(100, 161), 999]], "node long")
     got = dict(map(tuple, splits.components(df, nodes).collect()))
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(1, 50)} == {1} and got[999] == 999
+
+
+def test_texts_at_the_threshold_are_all_found(spark):
+    """Pairs of 40 words of which just 30 are shared: the farthest apart that are near-same; one word less is no case."""
+    rows = []
+    for i in range(500):
+        both = [f"both{i}_{k}" for k in range(30)] if i % 5 else [f"common{k}" for k in range(25)] + [f"both{i}_{k}" for k in range(5)]
+        for side, split in enumerate(("train", "test")):
+            rows.append((2 * i + side, " ".join(both + [f"own{i}_{side}_{k}" for k in range(10)]), "find a/b", split, "swe"))
+        rows.append((10_000 + i, " ".join(both[1:] + [f"other{i}_{k}" for k in range(11)]), "find a/b", "train", "swe"))
+    df = spark.createDataFrame(rows, "sample_id long, tool_output string, query string, split_name string, source string")
+    want = {(2 * i, 2 * i + 1) for i in range(500)}
+    assert pairs_of(df) == want
