@@ -161,3 +161,28 @@ def test_texts_at_the_threshold_are_all_found(spark):
     df = spark.createDataFrame(rows, "sample_id long, tool_output string, query string, split_name string, source string")
     want = {(2 * i, 2 * i + 1) for i in range(500)}
     assert pairs_of(df) == want
+
+
+def test_only_texts_that_may_have_partners_are_shipped(spark):
+    """Shuffled is a quarter of what two texts share, not a fixed number of hashes for every text; hot elements meet apart."""
+    alone = [(i, " ".join(f"alone{i}_{k}" for k in range(40))) for i in range(30)]
+    df = spark.createDataFrame(alone, "id long, text string")
+    _, order = near_dup.keyed(df, "id", "text")
+    assert near_dup.places(near_dup.prefixed(df, "id", "text", order)).count() == 0
+    twins = [(100 + i, " ".join(f"twin{i % 20}_{k}" for k in range(40)) + f" own{i}") for i in range(60)]
+    df = spark.createDataFrame(alone + twins, "id long, text string")
+    _, order = near_dup.keyed(df, "id", "text")
+    want = {(a, b) for a, b in combinations(range(100, 160), 2) if (b - a) % 20 == 0}
+    for block in (2, 500):
+        placed = near_dup.places(near_dup.prefixed(df, "id", "text", order, block=block))
+        assert placed.count() == 60 * 12
+        assert {(r.a, r.b) for r in near_dup.bucket_pairs(placed, block).collect()} == want
+
+
+def test_ids_that_are_far_apart(spark):
+    """Ids that agree in their lowest bits stand in one place of the bitmaps."""
+    words = " ".join(f"word{i}" for i in range(40))
+    step = 1 << near_dup.WANTED_BITS
+    texts = {5: words, 5 + step: words + " more", 5 - step: words, 5 + 3 * step: words.upper() + " more", 6: "other " * 20}
+    df = spark.createDataFrame(list(texts.items()), "sample_id long, tool_output string")
+    assert found(near_dup.near_pairs(df)) == {(a, b) for a, b in combinations(sorted(texts), 2) if share(texts[a], texts[b])}
